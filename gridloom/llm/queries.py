@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, token_output
+from . import packing, quality_rules, token_output, topk_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [token_output.op1_token_output, quality_rules.op5_quality_rules]
+    found = [token_output.op1_token_output, quality_rules.op5_quality_rules, packing.op10_packing, topk_search.op6_topk_search]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_topk_search": topk_search.OP6_SQL}
