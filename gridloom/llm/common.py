@@ -77,6 +77,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """At most `rows` rows, about that many where there are more: those with the lowest hashes of the key. Tasks send on only what lies below a cut that follows from the count."""
+    n = df.count()
+    if n > rows:
+        df = df.filter(F.xxhash64(key) < F.lit(int(min(1.0, rows / n) * 2**64) - 2**63))
+    return df.limit(rows)
+
+
 def crc_remainder(doc_id, modulus: int):
     """crc32 of the id written as text, modulo."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus

@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality_rules, token_output, topk_search
+from . import packing, quality_classifier, quality_rules, sharding, token_output, topk_search, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [token_output.op1_token_output, quality_rules.op5_quality_rules, packing.op10_packing, topk_search.op6_topk_search]
+    found = [
+        token_output.op1_token_output,
+        url_filter.op2_url_filter,
+        quality_classifier.op4_quality_classifier,
+        quality_rules.op5_quality_rules,
+        topk_search.op6_topk_search,
+        sharding.op9_sharding,
+        packing.op10_packing,
+    ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_topk_search": topk_search.OP6_SQL}
+    return {"op6_topk_search": topk_search.OP6_SQL, "op9_sharding": sharding.OP9_SQL}

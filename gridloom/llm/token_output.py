@@ -52,8 +52,8 @@ def store(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
 
 
 def _fit(documents: DataFrame, path: str, form: Format) -> zstandard.ZstdCompressionDict | None:
-    """From the documents with the lowest hashes; None where there is too little to learn from."""
-    sample = documents.select("text", F.xxhash64("doc_id").alias("h")).orderBy("h", F.crc32(F.coalesce("text", F.lit("")).cast("binary"))).limit(form.sample_documents).select(F.substring("text", 1, form.sample_bytes // form.sample_documents).alias("text"))
+    """From the documents with the lowest hashes, about `sample_documents` whatever the table; None where there is too little to learn from."""
+    sample = common.hash_sample(documents, "doc_id", form.sample_documents).select(F.substring("text", 1, form.sample_bytes // form.sample_documents).alias("text"))
     texts = pa.array([r[0] for r in sample.collect()], pa.string())
     enc = tokens.encoder(path)
     ids, at = enc.encode(*common.utf8(texts))

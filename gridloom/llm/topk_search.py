@@ -107,7 +107,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, index: Index = Index
     if (largest or 0) > 1 << 24 or (most or 0) > 1 << 53:
         raise ValueError("components too large for exact products")
     dims, most = int(dims), float(most)
-    sample = whole.orderBy(F.xxhash64("vec_id"), "vec_id").limit(index.sample).select("v").toArrow()
+    sample = common.hash_sample(whole, "vec_id", index.sample).select("v").toArrow()
     pivots = spark.sparkContext.broadcast(spread(lifted(matrix(sample.column("v"), dims), most), index.pivots))
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
