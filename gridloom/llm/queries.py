@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, piece_scan, quality_classifier, quality_rules, sharding, token_output, topk_search, url_filter
+from . import jaccard_join, packing, piece_scan, quality_classifier, quality_rules, sharding, token_output, topk_search, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         quality_classifier.op4_quality_classifier,
         quality_rules.op5_quality_rules,
         topk_search.op6_topk_search,
+        jaccard_join.op7_jaccard_join,
         piece_scan.op8_piece_scan,
         sharding.op9_sharding,
         packing.op10_packing,
