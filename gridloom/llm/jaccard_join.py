@@ -512,14 +512,16 @@ def bit_filter(ids: DataFrame, size: int) -> np.ndarray:
 
 
 def keep_one(documents: DataFrame, j: Join = Join()) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, with its own columns; documents without words stay."""
-    found = linked(documents, j)
-    kept = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    columns = documents.columns
-    stay = documents.join(kept, "doc_id", "left_semi").select(*columns)
-    empty = F.coalesce(F.trim(F.translate("text", "\t\n\x0b\f\r", "     ")), F.lit("")) == ""
-    once = stay.filter(~empty).dropDuplicates(["doc_id"]).unionByName(stay.filter(empty))
-    return once.unionByName(documents.filter(F.col("doc_id").isNull()))
+    """One document of each component, the one with the smallest doc_id, with its own columns. Documents without words
+    and rows without doc_id stay; of rows that share a doc_id and words, one stays."""
+    work = common.Workspace(documents.sparkSession, "keep")
+    kept = work.keep(linked(documents, j).filter(F.col("doc_id") == F.col("component_id")).select("doc_id", "n_shingles"), "kept")
+    n, distinct = kept.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    stay = documents.join(kept.select("doc_id"), "doc_id", "left_semi").select(*documents.columns)
+    if n != distinct:
+        empty = F.coalesce(F.trim(F.translate("text", "\t\n\x0b\f\r", "     ")), F.lit("")) == ""
+        stay = stay.filter(~empty).dropDuplicates(["doc_id"]).unionByName(stay.filter(empty))
+    return stay.unionByName(documents.filter(F.col("doc_id").isNull()))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

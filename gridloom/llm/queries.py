@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, packing, piece_scan, quality_classifier, quality_rules, sharding, token_output, topk_search, url_filter
+from . import jaccard_join, packing, piece_scan, quality_classifier, quality_rules, sharding, substring_dedup, token_output, topk_search, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         token_output.op1_token_output,
         url_filter.op2_url_filter,
+        substring_dedup.op3_substring_dedup,
         quality_classifier.op4_quality_classifier,
         quality_rules.op5_quality_rules,
         topk_search.op6_topk_search,
