@@ -16,6 +16,11 @@ def _power(i: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))
 
 
+def bind(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it occurs."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def xy_to_hilbert(z: Column, x: Column, y: Column) -> Column:
     """The quadrant of each bit, from the highest on; the frame turns with it."""
     start = F.struct(F.lit(0).cast("long").alias("d"), x.cast("long").alias("x"), y.cast("long").alias("y"))
@@ -71,10 +76,13 @@ def id_to_zoom(tile: Column) -> Column:
 
 def id_to_zxy(tile: Column) -> Column:
     """Struct (z, x, y)."""
-    z = id_to_zoom(tile)
-    base = F.element_at(F.array(*(F.lit(b).cast("long") for b in BASES)), z + 1)
-    xy = hilbert_to_xy(z, tile - base)
-    return F.struct(z.alias("z"), xy["x"].alias("x"), xy["y"].alias("y"))
+    bases = F.array(*(F.lit(b).cast("long") for b in BASES))
+
+    def placed(p: Column) -> Column:
+        xy = hilbert_to_xy(p["z"], p["tile"] - F.get(bases, p["z"]))
+        return bind(xy, lambda q: F.struct(p["z"].alias("z"), q["x"].alias("x"), q["y"].alias("y")))
+
+    return bind(tile, lambda t: bind(F.struct(t.alias("tile"), id_to_zoom(t).alias("z")), placed))
 
 
 def zoom_ids(z: int) -> tuple[int, int]:

@@ -91,7 +91,7 @@ def sample_elevation(points: DataFrame, raster: DataFrame, mode: str, width: int
         return nearest.withColumnRenamed("near", "elev")
     near = neighbourhood(points, raster, mode, width, height)
     valid = F.col("elev").isNotNull()
-    mean = F.sum(F.when(valid, F.col("w") * F.col("elev"))) / F.sum(F.when(valid, F.col("w")))
+    mean = F.try_divide(F.sum(F.when(valid, F.col("w") * F.col("elev"))), F.sum(F.when(valid, F.col("w"))))
     missing = F.count_if(~valid)
     value = F.when(missing == 0, mean) if mode == "bilinear" else F.when(F.count_if(valid) > 0, mean)
     return near.groupBy("point").agg(value.alias("elev"), missing.alias("missing")).join(nearest, "point").select("point", F.when(F.col("elev").isNotNull(), F.col("elev")).otherwise(F.col("near")).alias("elev"))

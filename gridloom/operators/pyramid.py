@@ -105,7 +105,7 @@ def average_elevation(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
 def kernel_elevation(df: DataFrame, mode: str, size: int = 256, keys: tuple[str, ...] = ()) -> DataFrame:
     spread = _spread(df.filter(F.col("elev").isNotNull()), mode, size)
-    return spread.groupBy(*keys, (F.col("z") - 1).alias("z"), F.col("_pgx").alias("gx"), F.col("_pgy").alias("gy")).agg((F.sum(F.col("w") * F.col("elev")) / F.sum("w")).alias("elev"))
+    return spread.groupBy(*keys, (F.col("z") - 1).alias("z"), F.col("_pgx").alias("gx"), F.col("_pgy").alias("gy")).agg(F.try_divide(F.sum(F.col("w") * F.col("elev")), F.sum("w")).alias("elev"))
 
 
 def halve(df: DataFrame, mode: str, size: int = 256, keys: tuple[str, ...] = ()) -> DataFrame:
