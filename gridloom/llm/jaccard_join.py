@@ -110,6 +110,44 @@ def pack_counts(total: np.ndarray) -> tuple[list[int], list[bytes]]:
     return parts, blobs
 
 
+FAN = 64
+
+
+def merged(rows: DataFrame, merge, kind: str) -> DataFrame:
+    """One row for each slice. Tasks' rows meet in rounds of FAN, so that no task reads a slice of every task."""
+    spark = rows.sparkSession
+    n = common.partitions(spark)
+    sources = rows.rdd.getNumPartitions()
+    rows = rows.withColumn("salt", F.spark_partition_id())
+    names = [c.split()[0] for c in kind.split(", ")]
+    while sources > FAN:
+        sources = -(-sources // FAN)
+        rows = rows.withColumn("salt", F.floor(F.col("salt") / FAN).cast("int"))
+        rows = rows.repartitionById(n, F.pmod(F.xxhash64("part", "salt"), F.lit(n)).cast("int")).sortWithinPartitions("salt", "part").mapInArrow(_by_salt(merge, names), f"{kind}, salt int")
+    return rows.select(*names).repartitionById(n, F.pmod("part", F.lit(n))).mapInArrow(merge, kind)
+
+
+def _by_salt(merge, names: list[str]):
+    """merge applied to each run of rows of equal salt."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            salts = batch.column("salt").to_pylist()
+            for i, salt in enumerate(salts):
+                if salt != now and held:
+                    for out in merge(iter(held)):
+                        yield out.append_column("salt", pa.array([now] * out.num_rows, pa.int32()))
+                    held = []
+                now = salt
+                held.append(batch.select(names).slice(i, 1))
+        if held:
+            for out in merge(iter(held)):
+                yield out.append_column("salt", pa.array([now] * out.num_rows, pa.int32()))
+
+    return run
+
+
 def add_counts(rows: DataFrame, size: int) -> np.ndarray:
     """The sum of all tasks' arrays, slice by slice on the executors. Its size is fixed."""
 
@@ -124,8 +162,7 @@ def add_counts(rows: DataFrame, size: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zstandard.compress(own.tobytes(), 1)], pa.binary())], ["part", "counts"])
 
     out = np.zeros(size, np.uint32)
-    slices = max(1, size // SLICE)
-    for part, blob in rows.repartitionById(min(slices, common.partitions(rows.sparkSession)), F.pmod("part", F.lit(min(slices, common.partitions(rows.sparkSession))))).mapInArrow(run, COUNTS).collect():
+    for part, blob in merged(rows, run, COUNTS).collect():
         own = np.frombuffer(zstandard.decompress(bytes(blob)), "<u4")
         out[part * SLICE : part * SLICE + len(own)] += own
     return out
@@ -502,10 +539,10 @@ def bit_filter(ids: DataFrame, size: int) -> np.ndarray:
         for part, own in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zstandard.compress(own.tobytes(), 1)], pa.binary())], ["part", "marks"])
 
-    kind, n = "part int, marks binary", max(1, min(size // 8 // SLICE, common.partitions(ids.sparkSession)))
+    kind = "part int, marks binary"
     rows = ids.select(F.xxhash64("doc_id").bitwiseAND(0x7FFFFFFFFFFFFFFF).alias("place")).mapInArrow(run, kind)
     out = np.zeros(size // 8, np.uint8)
-    for part, blob in rows.repartitionById(n, F.pmod("part", F.lit(n))).mapInArrow(merge, kind).collect():  # size / 8 bytes at most
+    for part, blob in merged(rows, merge, kind).collect():  # size / 8 bytes at most
         own = np.frombuffer(zstandard.decompress(bytes(blob)), np.uint8)
         out[part * SLICE : part * SLICE + len(own)] |= own
     return out

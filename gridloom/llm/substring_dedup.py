@@ -307,9 +307,11 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 def cut_documents(documents: DataFrame, p: Passages = Passages()) -> DataFrame:
     """The documents without their repeated passages, with their own columns (n_chars, if there, follows the text).
     A document that held nothing else goes."""
-    spans = repeats(documents, p).groupBy("doc_id").agg(F.collect_list(F.struct("first_word", "n_words")).alias("__spans"))
-    columns, schema = documents.columns, documents.schema
-    joined = documents.join(spans, "doc_id", "left").select(*columns, "__spans")
+    columns, schema, own = documents.columns, documents.schema, "spans"
+    while own in columns:
+        own += "_"
+    spans = repeats(documents, p).groupBy("doc_id").agg(F.collect_list(F.struct("first_word", "n_words")).alias(own))
+    joined = documents.join(spans, "doc_id", "left").select(*columns, own)
     text, chars = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
