@@ -113,6 +113,14 @@ def windows(tokens: np.ndarray, first: np.ndarray, docs: np.ndarray, p: Passages
     return np.concatenate(out)
 
 
+def unchained(rows: np.ndarray, p: Passages) -> np.ndarray:
+    """Of windows of one value that follow each other in a text within `least` tokens, as where a few words repeat over and
+    over, the first and the last; both ends of such a stretch still meet those of others."""
+    rows = rows[np.lexsort((rows["c"], rows["value"], rows["doc"]))]
+    near = (rows["doc"][1:] == rows["doc"][:-1]) & (rows["value"][1:] == rows["value"][:-1]) & (rows["c"][1:].astype(np.int64) - rows["c"][:-1] < p.least)
+    return rows[~(np.append(False, near) & np.append(near, False))]
+
+
 def make_windows(documents: DataFrame, p: Passages, buckets: int) -> DataFrame:
     """bucket, rows: packed windows, dealt by value."""
 
@@ -136,7 +144,7 @@ def make_windows(documents: DataFrame, p: Passages, buckets: int) -> DataFrame:
             raw, at = common.utf8(batch.column("text"))
             for lo, hi in common.slices(at, 1 << 21):
                 tokens, first = token_rows(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], p.words)
-                rows = windows(tokens, first, docs[lo:hi], p)
+                rows = unchained(windows(tokens, first, docs[lo:hi], p), p)
                 held.append(rows)
                 size += len(rows)
                 if size > 1 << 20:

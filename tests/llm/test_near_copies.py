@@ -170,3 +170,10 @@ def test_shingles_match_words():
     assert first.tolist() == [0, 3, 3, 3, 4, 8] and h[0] == h[4] and h[2] == h[6]
     grams, whole = textkernel.shingles(h, first, 3)
     assert whole.tolist() == [True, False, False, False, True, True, False, False] and grams[0] == grams[4]
+
+
+def test_periodic_texts_meet_at_their_ends(frame):
+    """A few words over and over, in many documents: found, with two windows a stretch."""
+    texts = [f"{prose(i, 20)} {'is on ' * (60 + i)}{prose(50 + i, 20)}" for i in range(30)]
+    got = {r.doc_id: r for r in substring_dedup.repeats(frame(texts)).collect()}
+    assert set(got) == set(range(1, 30)) and all(r.n_words >= 110 for r in got.values())
