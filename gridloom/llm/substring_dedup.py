@@ -116,6 +116,8 @@ def windows(tokens: np.ndarray, first: np.ndarray, docs: np.ndarray, p: Passages
 def unchained(rows: np.ndarray, p: Passages) -> np.ndarray:
     """Of windows of one value that follow each other in a text within `least` tokens, as where a few words repeat over and
     over, the first and the last; both ends of such a stretch still meet those of others."""
+    if len(rows) < 3:
+        return rows
     rows = rows[np.lexsort((rows["c"], rows["value"], rows["doc"]))]
     near = (rows["doc"][1:] == rows["doc"][:-1]) & (rows["value"][1:] == rows["value"][:-1]) & (rows["c"][1:].astype(np.int64) - rows["c"][:-1] < p.least)
     return rows[~(np.append(False, near) & np.append(near, False))]
