@@ -435,11 +435,11 @@ def level_select(spark, sf_dir):
 def _sampled(spark, sf_dir):
     r = rel.raster(spark, sf_dir)
     height = r.agg(F.max("gy")).first()[0]  # whole rows only
-    p = rel.table(spark, sf_dir, "events").select(F.col("event_id").alias("point"), (F.col("event_id") * 37 % 5110 / F.lit(10.0)).alias("fx"), (F.col("event_id") * 91 % (10 * height - 10) / F.lit(10.0)).alias("fy"))
+    p = rel.table(spark, sf_dir, "events").select(F.col("event_id").alias("point"), (F.col("event_id") * 37 % 5110 / F.lit(10.0)).alias("fx"), (F.col("event_id") * 91 % (10 * height - 5) / F.lit(10.0)).alias("fy"))
     return p, r.filter(F.col("gy") < height), height
 
 
-_AT = """size AS (SELECT max(gy) AS h FROM raster), pts AS (SELECT event_id AS point, CAST(event_id * 37 % 5110 AS DOUBLE) / 10 AS fx, CAST(event_id * 91 % (10 * h - 10) AS DOUBLE) / 10 AS fy, h FROM events, size)"""
+_AT = """size AS (SELECT max(gy) AS h FROM raster), pts AS (SELECT event_id AS point, CAST(event_id * 37 % 5110 AS DOUBLE) / 10 AS fx, CAST(event_id * 91 % (10 * h - 5) AS DOUBLE) / 10 AS fy, h FROM events, size)"""
 _WEIGHT = {
     "bilinear": "greatest(0, 1 - abs({x}))",
     "bicubic": "CASE WHEN abs({x}) <= 1 THEN 1.5 * abs({x}) ** 3 - 2.5 * abs({x}) ** 2 + 1 WHEN abs({x}) < 2 THEN -0.5 * abs({x}) ** 3 + 2.5 * abs({x}) ** 2 - 4 * abs({x}) + 2 ELSE 0 END",
