@@ -496,13 +496,13 @@ def sample_float_nan(spark, sf_dir):
     return mosaic.sample_elevation(p, r, "bilinear", rel.WIDTH, h).withColumn("elev", F.round("elev", 6))
 
 
-@query(with_(rel.RASTER, _AT, _near("bicubic"), _NEAREST) + """SELECT point, round(coalesce(m, e), 3) AS elev FROM (
+@query(with_(rel.RASTER, _AT, _near("bicubic"), _NEAREST) + """SELECT point, round(coalesce(m, e) + 1e-7, 3) AS elev FROM (
   SELECT point, sum(w * elev) FILTER (elev IS NOT NULL) / sum(w) FILTER (elev IS NOT NULL) AS m FROM near GROUP BY point HAVING abs(coalesce(sum(w) FILTER (elev IS NOT NULL), 1)) > 1e-3) JOIN nearest USING (point)""")
 def sample_float_bicubic(spark, sf_dir):
     """Points whose valid weights all but cancel are left out, as last bits decide there."""
     p, r, h = _sampled(spark, sf_dir)
     near = mosaic.neighbourhood(p, r, "bicubic", rel.WIDTH, h).groupBy("point").agg(F.abs(F.coalesce(F.sum(F.when(F.col("elev").isNotNull(), F.col("w"))), F.lit(1.0))).alias("t")).filter("t > 1e-3")
-    return mosaic.sample_elevation(p, r, "bicubic", rel.WIDTH, h).join(near, "point", "left_semi").withColumn("elev", F.round("elev", 3))
+    return mosaic.sample_elevation(p, r, "bicubic", rel.WIDTH, h).join(near, "point", "left_semi").withColumn("elev", F.round(F.col("elev") + 1e-7, 3))
 
 
 @query(with_(rel.RASTER) + "SELECT gx, gy, r, g, b, a FROM raster WHERE gx BETWEEN 100 AND 163 AND gy BETWEEN 2 AND 9")
