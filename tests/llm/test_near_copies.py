@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 import pytest
-from conftest import prose
+from corpus_texts import prose
 
 from gridloom.llm import components, jaccard_join, substring_dedup, textkernel
 from gridloom.llm.common import Workspace

@@ -2,7 +2,7 @@ import re
 from collections import Counter
 
 import zstandard
-from conftest import prose
+from corpus_texts import prose
 
 from gridloom.llm import quality_classifier, quality_rules, url_filter
 from gridloom.llm.quality_rules import Bands

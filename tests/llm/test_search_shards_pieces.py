@@ -2,7 +2,7 @@ import math
 
 import numpy as np
 import pytest
-from conftest import prose
+from corpus_texts import prose
 
 from gridloom.llm import piece_scan, sharding, topk_search
 

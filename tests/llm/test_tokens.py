@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import SCHEMA, prose  # noqa: F401  (pytest puts this folder first)
+from corpus_texts import prose
 
 from gridloom.llm import common, cutting_stock, packing, token_output, tokens
 
