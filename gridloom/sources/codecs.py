@@ -1,4 +1,4 @@
-"""Tile payloads: PNG by zlib, elevations as PNG, others by registration."""
+"""Tile payloads: PNG by zlib, elevations as PNG, JPEG in NumPy, others by registration."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from collections.abc import Callable
 
 import numpy as np
 
+from . import jpeg
+
 Encode = Callable[[np.ndarray, int], bytes]
 Decode = Callable[[bytes], np.ndarray]
 _codecs: dict[str, tuple[Encode, Decode]] = {}
@@ -121,3 +123,4 @@ def pixel_elevations(rgba: np.ndarray) -> np.ndarray:
 
 register_codec("png", png_encode, png_decode)
 register_codec("terrarium", png_encode, png_decode)
+register_codec("jpeg", jpeg.encode, jpeg.decode)

@@ -1,7 +1,7 @@
 """TIFF and BigTIFF rasters: directories, georeference, blocks. Plain Python and NumPy; runs on executors and the driver.
 
 Every directory is a level, but for masks. Strips are read as rows of blocks as wide as the picture. Samples of several
-planes are not supported; JPEG blocks need a decoder that this package doesn't have.
+planes are not supported.
 """
 
 from __future__ import annotations
@@ -14,12 +14,14 @@ from xml.etree import ElementTree
 import numpy as np
 import pyarrow.fs
 
+from . import jpeg
+
 #: Fixed values of the format. Kinds of numbers: code, struct letter, bytes.
 KINDS = {1: "B", 2: "c", 3: "H", 4: "I", 5: "II", 6: "b", 7: "B", 8: "h", 9: "i", 10: "ii", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 #: Tags: name, number.
 TAGS = {
     "subfile": 254, "width": 256, "height": 257, "bits": 258, "compression": 259, "photometric": 262, "strip_offsets": 273, "samples": 277, "rows_per_strip": 278,
-    "strip_sizes": 279, "planar": 284, "predictor": 317, "tile_width": 322, "tile_height": 323, "tile_offsets": 324, "tile_sizes": 325, "sample_format": 339,
+    "strip_sizes": 279, "planar": 284, "predictor": 317, "tile_width": 322, "tile_height": 323, "tile_offsets": 324, "tile_sizes": 325, "sample_format": 339, "jpeg_tables": 347,
     "pixel_scale": 33550, "tie_point": 33922, "geo_keys": 34735, "metadata": 42112, "nodata": 42113,
 }
 COMPRESSIONS = {1: "none", 5: "lzw", 7: "jpeg", 8: "deflate", 32946: "deflate"}
@@ -45,6 +47,8 @@ class Level:
     offsets: list[int]
     sizes: list[int]
     strips: bool
+    photometric: int = 1
+    tables: bytes = b""
 
     @property
     def across(self) -> int:
@@ -122,7 +126,7 @@ def _level(v: dict[int, tuple]) -> Level:
     return Level(
         get("width"), get("height"), samples, bits, floating, compression, get("predictor", 1),
         get("tile_width") if tiled else get("width"), get("tile_height") if tiled else rows,
-        list(v[TAGS["tile_offsets" if tiled else "strip_offsets"]]), list(v[TAGS["tile_sizes" if tiled else "strip_sizes"]]), not tiled,
+        list(v[TAGS["tile_offsets" if tiled else "strip_offsets"]]), list(v[TAGS["tile_sizes" if tiled else "strip_sizes"]]), not tiled, get("photometric", 1), bytes(v.get(TAGS["jpeg_tables"], ())),
     )
 
 
@@ -283,7 +287,10 @@ def read_block(f, level: Level, little: bool, col: int, row: int) -> np.ndarray
     elif level.compression == "lzw":
         raw = lzw(raw)
     elif level.compression == "jpeg":
-        raise BadRaster("JPEG blocks need a decoder that isn't here")
+        stream = jpeg.splice(level.tables, raw)
+        if level.photometric == 2 and b"Adobe" not in raw:  # stored as red, green and blue
+            return np.stack(jpeg.decode_planes(stream)[0], -1).astype(np.uint8)
+        return jpeg.decode_samples(stream)
     rows = min(level.block_height, level.height - row * level.block_height) if level.strips else level.block_height
     need = rows * level.block_width * level.samples * level.bits // 8
     raw = raw[:need].ljust(need, b"\0")
