@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, hilbert
 from ..operators import blocks, coverage, mosaic
-from ..options import Colour, PyramidOptions, TransformOptions, transform_mode
+from ..options import BandConfig, Colour, PyramidOptions, TransformOptions, transform_mode
 from ..sources import archive, connectors, tiff
 from ..sources.codecs import codec, elevation_pixels, pixel_elevations
+from . import presets
 
 TILE = "z int, x long, y long, form string, pixels binary"
 KEY = ["z", "x", "y"]
@@ -150,8 +151,11 @@ def build_pyramid(spark: SparkSession, inputs: list[str], out: str, options: Pyr
     rasters = [tiff.read_raster(p) for p in files]
     if not rasters or any(r.origin is None for r in rasters):
         raise ValueError("no georeferenced rasters among the inputs")
-    if rasters[0].levels[0].floating and options.format != "terrarium":
+    found = presets.detect(rasters[0])
+    if found is not None and found.format == "terrarium":
         options = replace(options, format="terrarium")
+    elif found is not None and options.bands == BandConfig():
+        options = replace(options, bands=found.bands)
     box = bounds_of(rasters)
     low, high = zoom_range(rasters, box, options)
     root = f"{shared(spark)}/pyramid-{uuid.uuid4().hex}"

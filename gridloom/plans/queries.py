@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import bands as bf
 from ..functions import geo, hilbert, text
 from ..functions.kernels import half_weights
-from ..operators import coverage, layout, mosaic, pyramid
+from ..operators import coverage, layout, mosaic, pyramid, summary
 from ..options import BandConfig
 from . import relations as rel
 
@@ -670,3 +670,17 @@ def mode_planner(spark, sf_dir):
 
     cases = [TransformOptions(), TransformOptions(format="jpeg"), TransformOptions(fill=(0, 0, 0, 255)), TransformOptions(rebuild=True), TransformOptions(min_zoom=0), TransformOptions(format="png", min_zoom=6)]
     return spark.createDataFrame([(i, transform_mode("png", 5, c)) for i, c in enumerate(cases)], "id int, mode string")
+
+
+@query(with_(rel.RASTER) + "SELECT count(*) AS n, count(*) FILTER (elev IS NULL) AS missing, min(elev) AS least, max(elev) AS greatest FROM raster")
+def elevation_summary(spark, sf_dir):
+    return summary.elevation_summary(rel.raster(spark, sf_dir))
+
+
+@query("""SELECT coalesce(a.k, b.k) AS k, a.v AS before, b.v AS after FROM (SELECT CAST(event_id AS VARCHAR) AS k, event_type AS v FROM events WHERE event_id < 500) a
+  FULL JOIN (SELECT CAST(event_id AS VARCHAR) AS k, CASE WHEN event_id % 7 = 0 THEN 'x' ELSE event_type END AS v FROM events WHERE event_id BETWEEN 100 AND 599) b ON a.k = b.k WHERE a.v IS DISTINCT FROM b.v""")
+def header_differences(spark, sf_dir):
+    e, k = rel.table(spark, sf_dir, "events"), F.col("event_id")
+    a = e.filter(k < 500).select(k.cast("string").alias("k"), F.col("event_type").alias("v"))
+    b = e.filter(k.between(100, 599)).select(k.cast("string").alias("k"), F.when(k % 7 == 0, "x").otherwise(F.col("event_type")).alias("v"))
+    return summary.differences(a, b)
