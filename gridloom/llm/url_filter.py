@@ -32,7 +32,7 @@ RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 @dataclass(frozen=True)
 class Markov:
     order: int = 4
-    contexts: int = 1 << 16
+    contexts: int = 1 << 14
     bins: int = 400
     reach: float = 4.0
     hold: int = 5
