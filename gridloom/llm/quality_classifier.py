@@ -141,28 +141,23 @@ def held_out(doc_id):
 
 def learn(documents: DataFrame, labels: DataFrame, v: Voting = Voting()) -> Space:
     """From at most `sample` labelled documents outside the held-out part, the lowest by hash."""
-    spark = documents.sparkSession
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    chosen = common.hash_sample(known, "doc_id", v.sample).toArrow()
-    quality = dict(zip(chosen.column("doc_id").to_pylist(), chosen.column("quality").to_pylist(), strict=True))
-    if not quality:
-        return Space(np.zeros((0, terms(v)), np.float32), np.zeros(0), v)
-    shared = spark.sparkContext.broadcast(np.array(sorted(quality), np.int64))
+    chosen = common.hash_sample(known, "doc_id", v.sample)  # ids and labels only, so it may be broadcast
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
-            batch = batch.filter(pa.array(np.isin(np.asarray(ids.fill_null(0)), shared.value) & np.asarray(ids.is_valid())))
             raw, at = common.utf8(batch.column("text"))
-            x = features(raw, at, v)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], ["doc_id", "x"])
-
-    common.tune(spark)
-    got = documents.select("doc_id", "text").mapInArrow(run, "doc_id long, x binary").toArrow()
-    ids, rows = got.column("doc_id").to_pylist(), got.column("x").to_pylist()
+            for lo, hi in common.slices(at, 1 << 20):
+                x = features(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], v)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("quality").slice(lo, hi - lo), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], ["doc_id", "quality", "x"])
+
+    common.tune(documents.sparkSession)
+    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("quality").cast("double").alias("quality"), "text")
+    got = texts.mapInArrow(run, "doc_id long, quality double, x binary").toArrow()
+    ids, quality, rows = (got.column(c).to_pylist() for c in ("doc_id", "quality", "x"))
     order = sorted(range(len(ids)), key=lambda i: (ids[i], rows[i]))
     x = np.array([np.frombuffer(rows[i], np.float16) for i in order], np.float32).reshape(len(order), terms(v))
-    return Space(x, np.array([quality[ids[i]] for i in order], float), v)
+    return Space(x, np.array([quality[i] for i in order], float), v)
 
 
 def scorer(spark: SparkSession, space: Space, v: Voting):
