@@ -2,17 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace
 
+#: Up to so many links are joined in one task; a constant, whatever the input.
+AT_ONCE = 1 << 18
+
+
+def _together(edges: DataFrame) -> DataFrame:
+    """vertex, root of a table of few links, by union-find in one task."""
+    kind = edges.schema["u"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number: dict = {}
+        pairs, types = [], None
+        for batch in batches:
+            types = batch.schema.field("u").type
+            for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+                pairs.append((number.setdefault(u, len(number)), number.setdefault(v, len(number))))
+        if not pairs:
+            return
+        names = list(number)
+        order = sorted(range(len(names)), key=names.__getitem__)
+        rank = [0] * len(names)
+        for r, i in enumerate(order):
+            rank[i] = r
+        forest = Forest(len(names))  # over ranks, so that a root is its tree's smallest vertex
+        for a, b in pairs:
+            forest.join(rank[a], rank[b])
+        roots = [names[order[forest.find(rank[i])]] for i in range(len(names))]
+        for lo in range(0, len(names), 1 << 14):
+            yield pa.RecordBatch.from_arrays([pa.array(names[lo : lo + (1 << 14)], types), pa.array(roots[lo : lo + (1 << 14)], types)], ["vertex", "root"])
+
+    return edges.select("u", "v").repartition(1).mapInArrow(run, f"vertex {kind}, root {kind}")
+
 
-def components(links: DataFrame, work: Workspace, name: str = "components") -> DataFrame:
+def components(links: DataFrame, work: Workspace, name: str = "components", at_once: int = AT_ONCE) -> DataFrame:
     """links: a, b (any orderable type, not null). Returns vertex, root (the smallest vertex of the component) for all
-    vertices with a link to another. Each round is a table in shared storage, so a lost executor costs one round at most.
+    vertices with a link to another. Few links (`at_once`) are joined in one task, more by rounds over all tasks. Each round is a table in shared storage, so a lost executor costs one round at most.
     """
     edges = work.keep(links.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0")
+    if edges.count() <= at_once:
+        return _together(edges)
     state, step = None, 0
     while True:
         # larger neighbours go to the smallest vertex in reach

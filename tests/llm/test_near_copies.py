@@ -83,11 +83,12 @@ def test_long_postings_lose_nothing():
     assert (n == 1).all()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("at_once", [0, 1000])
+def test_components(spark, at_once):
     r = random.Random(2)
     links = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 180)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(40)]
     df = spark.createDataFrame(links, "a long, b long")
-    got = {x.vertex: x.root for x in components.components(df, Workspace(spark, "t")).collect()}
+    got = {x.vertex: x.root for x in components.components(df, Workspace(spark, "t"), at_once=at_once).collect()}
     up = {}
     for a, b in links:
         for x in (a, b):
