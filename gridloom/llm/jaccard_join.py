@@ -548,17 +548,35 @@ def bit_filter(ids: DataFrame, size: int) -> np.ndarray:
     return out
 
 
+def marked(doc_id, bits: np.ndarray):
+    """Whether a bit filter has the id's bit; a byte of a literal, so no Python and no shuffle."""
+    place = F.pmod(F.xxhash64(doc_id).bitwiseAND(0x7FFFFFFFFFFFFFFF), F.lit(8 * len(bits)))
+    byte = F.conv(F.hex(F.substring(F.lit(bits.tobytes()), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
+def split_by(documents: DataFrame, ids: DataFrame, most_bits: int = 22) -> tuple[DataFrame, DataFrame]:
+    """(those that may have one of the ids, those that surely don't). Only the first need a join, and so a shuffle of their
+    texts. The filter is a literal of the plan and has 2^most_bits bits at most; with far more ids than that it lets all through to the join."""
+    size = 1 << min(most_bits, max(19, int(16 * max(1, ids.count())).bit_length()))
+    hit = F.coalesce(marked(F.col("doc_id"), bit_filter(ids, size)), F.lit(False))
+    return documents.filter(hit), documents.filter(~hit)
+
+
 def keep_one(documents: DataFrame, j: Join = Join()) -> DataFrame:
     """One document of each component, the one with the smallest doc_id, with its own columns. Documents without words
     and rows without doc_id stay; of rows that share a doc_id and words, one stays."""
     work = common.Workspace(documents.sparkSession, "keep")
-    kept = work.keep(linked(documents, j).filter(F.col("doc_id") == F.col("component_id")).select("doc_id", "n_shingles"), "kept")
+    found = work.keep(linked(documents, j).filter("doc_id is not null"), "found")
+    kept = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id")
     n, distinct = kept.agg(F.count("*"), F.count_distinct("doc_id")).first()
-    stay = documents.join(kept.select("doc_id"), "doc_id", "left_semi").select(*documents.columns)
     if n != distinct:
+        stay = documents.join(kept, "doc_id", "left_semi").select(*documents.columns)
         empty = F.coalesce(F.trim(F.translate("text", "\t\n\x0b\f\r", "     ")), F.lit("")) == ""
-        stay = stay.filter(~empty).dropDuplicates(["doc_id"]).unionByName(stay.filter(empty))
-    return stay.unionByName(documents.filter(F.col("doc_id").isNull()))
+        return stay.filter(~empty).dropDuplicates(["doc_id"]).unionByName(stay.filter(empty)).unionByName(documents.filter(F.col("doc_id").isNull()))
+    gone = work.keep(found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "gone")
+    maybe, stay = split_by(documents, gone)
+    return stay.unionByName(maybe.join(gone, "doc_id", "left_anti").select(*documents.columns))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

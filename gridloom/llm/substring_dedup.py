@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, textkernel
-from .jaccard_join import bit_filter
+from .jaccard_join import bit_filter, split_by
 
 U = np.uint64
 PLACE = U((1 << 28) - 1)
@@ -320,8 +320,10 @@ def cut_documents(documents: DataFrame, p: Passages = Passages()) -> DataFrame:
     columns, schema, own = documents.columns, documents.schema, "spans"
     while own in columns:
         own += "_"
-    spans = repeats(documents, p).groupBy("doc_id").agg(F.collect_list(F.struct("first_word", "n_words")).alias(own))
-    joined = documents.join(spans, "doc_id", "left").select(*columns, own)
+    work = common.Workspace(documents.sparkSession, "cut")
+    spans = work.keep(repeats(documents, p).groupBy("doc_id").agg(F.collect_list(F.struct("first_word", "n_words")).alias(own)), "spans")
+    maybe, whole = split_by(documents, spans.select("doc_id"))
+    joined = maybe.join(spans, "doc_id", "left").select(*columns, own)
     text, chars = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,7 +341,7 @@ def cut_documents(documents: DataFrame, p: Passages = Passages()) -> DataFrame:
             new = [pa.array(texts, pa.string()) if i == text else pa.array(sizes, batch.column(i).type) if i == chars else batch.column(i) for i in range(len(columns))]
             yield pa.RecordBatch.from_arrays(new, columns).filter(pa.array(stay, pa.bool_()))
 
-    return joined.mapInArrow(run, schema)
+    return whole.unionByName(joined.mapInArrow(run, schema))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
