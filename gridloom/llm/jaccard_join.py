@@ -44,7 +44,7 @@ U = np.uint64
 class Join:
     words: int = 5
     percent: int = 80
-    members: int = 48
+    members: int = 96
     extra: int = 20  # c is a set's size divided by this
     sketch_bits: int = 22
     split_keys: int = 1 << 16
@@ -493,7 +493,7 @@ def linked(documents: DataFrame, j: Join = Join()) -> DataFrame:
     frequent = classes.groupBy("minhash").agg(F.count("*").alias("n")).filter(F.col("n") > max(j.members, total // j.split_keys))
     splits = {r.minhash: -(-r.n // j.members) for r in frequent.collect()}  # fewer than split_keys rows, by the filter
     groups = spark.sparkContext.broadcast(Groups(splits))
-    buckets = common.partitions(spark)
+    buckets = max(1, common.partitions(spark) // 2)  # fewer buckets, fewer partial counts of a pair
     pairs = work.keep(group_pairs(postings(documents, j, level, groups, buckets), j, buckets), "pairs")
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
