@@ -48,7 +48,7 @@ def _alphabet() -> dict[int, str]:
 
 class BpeEncoder:
     #: Units kept at most; beyond that the table is begun anew. It bounds memory and changes no result.
-    MOST = 700_000
+    MOST = 300_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
