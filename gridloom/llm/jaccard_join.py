@@ -198,7 +198,7 @@ def describe(documents: DataFrame, j: Join) -> DataFrame:
                     seen.add(key[-1])
                     waiting.append((s >> U(64 - j.sketch_bits)).astype(np.uint32))
                     held += len(s)
-                    if held > 1 << 21:
+                    if held > 1 << 20:
                         settle()
             size = len(n)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(low, pa.int64()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], schema=schema)
@@ -272,7 +272,7 @@ def postings(documents: DataFrame, j: Join, level, groups, buckets: int) -> Data
                 rows["token"], rows["group"], rows["least"], rows["most"], rows["place"] = part, groups.value.of(low, key), n, n, np.arange(len(part))
                 held.append(rows)
                 n_held += len(rows)
-                if n_held > 1 << 20:
+                if n_held > 1 << 19:
                     yield from flush()
         if held:
             yield from flush()
@@ -283,7 +283,7 @@ def postings(documents: DataFrame, j: Join, level, groups, buckets: int) -> Data
 class PairCounts:
     """Common prefix shingles of pairs of groups, added up within a task."""
 
-    MOST = 1 << 20
+    MOST = 1 << 18
 
     def __init__(self):
         self.parts, self.size = [], 0

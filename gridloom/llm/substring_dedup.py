@@ -149,7 +149,7 @@ def make_windows(documents: DataFrame, p: Passages, buckets: int) -> DataFrame:
                 rows = unchained(windows(tokens, first, docs[lo:hi], p), p)
                 held.append(rows)
                 size += len(rows)
-                if size > 1 << 20:
+                if size > 1 << 19:
                     yield from flush()
         if size:
             yield from flush()
