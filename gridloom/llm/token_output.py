@@ -104,13 +104,12 @@ def write(documents: DataFrame, root: str, path: str, form: Format = Format(), s
                     frames.append(pack.compress(own.tobytes()))
                     count.append(len(own))
                     crc.append(zlib.crc32(own.astype("<u4").tobytes()))
-                yield pa.RecordBatch.from_arrays([doc.slice(lo, hi - lo), pa.array(count, pa.int64()), pa.array(crc, pa.int64()), pa.array(frames, pa.binary())], ["doc_id", "n_tokens", "crc", "frame"])
+                own_ids = doc.slice(lo, hi - lo)
+                shard = np.searchsorted(bounds, np.asarray(own_ids.fill_null(np.iinfo(np.int64).min)), "left").astype(np.int32)
+                yield pa.RecordBatch.from_arrays([own_ids, pa.array(count, pa.int64()), pa.array(crc, pa.int64()), pa.array(frames, pa.binary()), pa.array(shard)], ["doc_id", "n_tokens", "crc", "frame", "shard"])
 
     width = tokens.encoder(path).dtype.itemsize
-    place = F.lit(0)
-    if bounds:
-        place = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("doc_id")))) if len(bounds) <= 16 else _search(bounds)
-    frames = documents.mapInArrow(compress, "doc_id long, n_tokens long, crc long, frame binary").withColumn("shard", place.cast("int"))
+    frames = documents.mapInArrow(compress, "doc_id long, n_tokens long, crc long, frame binary, shard int")
     dealt = frames.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions(F.asc_nulls_first("doc_id"), "crc", "n_tokens")
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,20 +152,6 @@ def write(documents: DataFrame, root: str, path: str, form: Format = Format(), s
     return spark.read.schema(kind).parquet(f"{root}/manifest")
 
 
-def _search(bounds: list[int]):
-    """Number of bounds below doc_id, by halving: a tree of comparisons that stays in generated code."""
-    if not bounds:
-        return F.lit(0)
-
-    def tree(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") > bounds[mid], tree(mid + 1, hi)).otherwise(tree(lo, mid))
-
-    return F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(tree(0, len(bounds)))
-
-
 class ShardReader:
     """One shard, by position or by doc_id; reads the footer and the frames asked for."""
 
