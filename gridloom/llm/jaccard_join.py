@@ -518,8 +518,8 @@ def linked(documents: DataFrame, j: Join = Join()) -> DataFrame:
     return docs.select("doc_id", "n_shingles", "key").join(result, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def bit_filter(ids: DataFrame, size: int) -> np.ndarray:
-    """Bits (little-endian bytes) of the hashes of all ids. Each task marks its own; the marks are merged slice by slice."""
+def bit_filter(ids: DataFrame, size: int, place=None) -> np.ndarray:
+    """Bits (little-endian bytes) of the hashes of all ids, or of another `place` of 63 bits. Each task marks its own; the marks are merged slice by slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(size // 8, np.uint8)
@@ -540,7 +540,8 @@ def bit_filter(ids: DataFrame, size: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zstandard.compress(own.tobytes(), 1)], pa.binary())], ["part", "marks"])
 
     kind = "part int, marks binary"
-    rows = ids.select(F.xxhash64("doc_id").bitwiseAND(0x7FFFFFFFFFFFFFFF).alias("place")).mapInArrow(run, kind)
+    place = F.xxhash64("doc_id").bitwiseAND(0x7FFFFFFFFFFFFFFF) if place is None else place
+    rows = ids.select(place.alias("place")).mapInArrow(run, kind)
     out = np.zeros(size // 8, np.uint8)
     for part, blob in merged(rows, merge, kind).collect():  # size / 8 bytes at most
         own = np.frombuffer(zstandard.decompress(bytes(blob)), np.uint8)

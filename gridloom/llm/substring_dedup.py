@@ -10,7 +10,12 @@ are the minima of a sliding window of that size, and the tree over them alone gi
 2. Windows meet by value. Among those of equal value and equal token on the left, or on the right, each document is
    paired with the first (smallest doc_id) and with the one before it: linear in the windows, however many share a
    passage. Collisions of a pair add up by alignment; pairs that share too few are dropped.
-3. The pairs' stretches are cut from the token rows of the documents they name (a bit filter keeps other texts out of
+3. Where three or more windows share value and side token (a frequent line in different passages), the first and the
+   previous document needn't hold the same passage. A second pass hashes every stretch of `least` tokens whose least
+   token under any function has such a value, and each document is paired with the first that holds the same stretch:
+   exact repeats are found however frequent the line in them is. The values are known by a bit filter; values that it
+   marks by chance only add work.
+4. The pairs' stretches are cut from the token rows of the documents they name (a bit filter keeps other texts out of
    the shuffle), aligned, and verified: spans of `least` tokens or more of which 80 % lie in the other text.
 
 A verified span is a repeat of an earlier document's passage; overlapping spans of a document merge.
@@ -123,8 +128,41 @@ def unchained(rows: np.ndarray, p: Passages) -> np.ndarray:
     return rows[~(np.append(False, near) & np.append(near, False))]
 
 
-def make_windows(documents: DataFrame, p: Passages, buckets: int) -> DataFrame:
-    """bucket, rows: packed windows, dealt by value."""
+def stretch_hashes(tokens: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each stretch of `width` tokens, by doubling."""
+    n = len(tokens) - width + 1
+    out, done, part, w = np.zeros(n, U), 0, textkernel.mix(tokens), 1
+    while w <= width:
+        if width & w:
+            out = textkernel.mix(out * U(3) + part[done : done + n])
+            done += w
+        part, w = textkernel.mix(part[:-w] * U(3) + part[w:]), 2 * w
+    return out
+
+
+def stretches(tokens: np.ndarray, first: np.ndarray, docs: np.ndarray, p: Passages, hot: np.ndarray) -> np.ndarray:
+    """Every stretch of `least` tokens whose least token under any function has a marked value, as rows of WINDOW: value is the stretch's hash, c its first token."""
+    n = len(tokens)
+    if n < p.least:
+        return np.zeros(0, WINDOW)
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    at = np.flatnonzero((first[1:][owner] - np.arange(n) >= p.least)[: n - p.least + 1])
+    any_hot = np.zeros(len(at), bool)
+    for seed in SEEDS[: p.hashes]:
+        h = textkernel.mix(tokens ^ U(seed))
+        place = h & U(8 * len(hot) - 1)
+        is_hot = (hot[(place >> U(3)).astype(np.int64)] >> (place & U(7)).astype(np.uint8) & 1).astype(bool)
+        any_hot |= is_hot[(sliding_least((h & ~PLACE) | np.arange(n).astype(U), p.least)[at] & PLACE).astype(np.int64)]
+    at = at[any_hot]
+    out = np.zeros(len(at), WINDOW)
+    if len(at):
+        own = owner[at]
+        out["value"], out["doc"], out["c"], out["right"] = stretch_hashes(tokens, p.least)[at], docs[own], at - first[own], p.least - 1
+    return out
+
+
+def make_windows(documents: DataFrame, p: Passages, buckets: int, hot=None) -> DataFrame:
+    """bucket, rows: packed windows, or the stretches around values that a broadcast bit filter marks, dealt by value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -146,7 +184,9 @@ def make_windows(documents: DataFrame, p: Passages, buckets: int) -> DataFrame:
             raw, at = common.utf8(batch.column("text"))
             for lo, hi in common.slices(at, 1 << 21):
                 tokens, first = token_rows(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], p.words)
-                rows = unchained(windows(tokens, first, docs[lo:hi], p), p)
+                rows = unchained(windows(tokens, first, docs[lo:hi], p) if hot is None else stretches(tokens, first, docs[lo:hi], p, hot.value), p)
+                if not len(rows):
+                    continue
                 held.append(rows)
                 size += len(rows)
                 if size > 1 << 19:
@@ -157,39 +197,77 @@ def make_windows(documents: DataFrame, p: Passages, buckets: int) -> DataFrame:
     return documents.filter("doc_id is not null").select("doc_id", "text").mapInArrow(run, "bucket int, rows binary")
 
 
-MEETING = "early long, late long, shift long, n int, first long, last long, low long, high long"
+MEETING = "early long, late long, shift long, n int, first long, last long, low long, high long, hot boolean"
 
 
-def meetings(rows: np.ndarray, p: Passages) -> np.ndarray:
-    """Pairs of documents whose windows share value and a token `apart`: columns early, late, c in late, alignment, reach to the left and right."""
-    found = []
+def runs_of(rows: np.ndarray, *keys: str) -> tuple[np.ndarray, np.ndarray]:
+    """The rows in order of these keys, document and place, and where runs of equal keys begin."""
+    rows = rows[np.lexsort((rows["c"], rows["doc"], *(rows[k] for k in reversed(keys))))]
+    new = np.zeros(len(rows), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= rows[k][1:] != rows[k][:-1]
+    return rows, new
+
+
+def met(own: np.ndarray, at: np.ndarray, o: np.ndarray) -> np.ndarray:
+    """Rows `at` met with earlier documents' rows `o`: columns early, late, c in late, alignment, reach to the left and right."""
+    part = np.zeros((len(at), 6), np.int64)
+    part[:, 0], part[:, 1], part[:, 2] = own["doc"][o], own["doc"][at], own["c"][at]
+    part[:, 3] = own["c"][at].astype(np.int64) - own["c"][o]
+    part[:, 4] = np.minimum(own["left"][at], own["left"][o])
+    part[:, 5] = np.minimum(own["right"][at], own["right"][o])
+    return part
+
+
+def meet_first(own: np.ndarray, new: np.ndarray, previous: bool) -> list[np.ndarray]:
+    """Each document of a run with the run's first, and with the one before it."""
+    lead = np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))
+    change = np.append(True, new[1:] | (own["doc"][1:] != own["doc"][:-1]))
+    begin = np.maximum.accumulate(np.where(change, np.arange(len(own)), 0))  # of the document within the run
+    at = np.flatnonzero(own["doc"][lead] != own["doc"])
+    found = [met(own, at, lead[at])]
+    if previous:
+        at = np.flatnonzero((begin > lead) & (begin - 1 > lead))
+        found.append(met(own, at, begin[at] - 1))
+    return found
+
+
+def meetings(rows: np.ndarray, p: Passages) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of two documents that share value and a token `apart`, as rows of met(); and the values of which three or
+    more windows do, in two documents or more."""
+    found, hot = [np.zeros((0, 6), np.int64)], [np.zeros(0, U)]
     for side in ("before", "after"):
-        own = rows[rows[side] != 0]
+        own, new = runs_of(rows[rows[side] != 0], "value", side)
         if len(own) < 2:
             continue
-        own = own[np.lexsort((own["c"], own["doc"], own[side], own["value"]))]
-        new = np.append(True, (own["value"][1:] != own["value"][:-1]) | (own[side][1:] != own[side][:-1]))
-        lead = np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))
-        change = np.append(True, new[1:] | (own["doc"][1:] != own["doc"][:-1]))
-        begin = np.maximum.accumulate(np.where(change, np.arange(len(own)), 0))  # of the document within the run
-        for other, use in ((lead, own["doc"][lead] != own["doc"]), (begin - 1, (begin > lead) & (begin - 1 > lead))):
-            at = np.flatnonzero(use)
-            o = other[at]
-            part = np.zeros((len(at), 6), np.int64)
-            part[:, 0], part[:, 1], part[:, 2] = own["doc"][o], own["doc"][at], own["c"][at]
-            part[:, 3] = own["c"][at].astype(np.int64) - own["c"][o]
-            part[:, 4] = np.minimum(own["left"][at], own["left"][o])
-            part[:, 5] = np.minimum(own["right"][at], own["right"][o])
-            found.append(part)
-    return np.concatenate(found) if found else np.zeros((0, 6), np.int64)
-
-
-def pairs(packed: DataFrame, p: Passages, buckets: int) -> DataFrame:
-    """Collisions added up by pair and alignment: early, late, shift, the tokens of late from first to last, the alignments from low to high."""
+        found += meet_first(own, new, True)
+        head = np.flatnonzero(new)
+        tail = np.append(head[1:], len(own)) - 1
+        hot.append(own["value"][head[(tail > head + 1) & (own["doc"][head] != own["doc"][tail])]])
+    return np.concatenate(found), np.unique(np.concatenate(hot))
+
+
+def pairs(packed: DataFrame, p: Passages, buckets: int, exact: bool = False) -> DataFrame:
+    """Collisions added up by pair and alignment: early, late, shift, the tokens of late from first to last, the alignments
+    from low to high. Rows marked hot hold a value in `early` and are no pairs. One exact stretch is enough for a pair."""
+    names = [c.split()[0] for c in MEETING.split(", ")]
+
+    def batches_of(columns: list[np.ndarray], hot: bool) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(columns[0]), 1 << 16):
+            part = [pa.array(c[lo : lo + (1 << 16)].astype(np.int32 if n == "n" else np.int64)) for c, n in zip(columns, names, strict=False)]
+            yield pa.RecordBatch.from_arrays([*part, pa.array(np.full(len(part[0]), hot))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = [b for batch in batches for b in batch.column("rows").to_pylist()]
-        m = meetings(np.frombuffer(b"".join(blobs), WINDOW), p)
+        rows = np.frombuffer(b"".join(blobs), WINDOW)
+        if exact:
+            m, hot = np.concatenate(meet_first(*runs_of(rows, "value"), False)) if len(rows) else np.zeros((0, 6), np.int64), np.zeros(0, U)
+        else:
+            m, hot = meetings(rows, p)
+        if len(hot):
+            none = np.zeros(len(hot), np.int64)
+            yield from batches_of([hot.view(np.int64), none, none, none + p.needed, none, none, none, none], True)
         if not len(m):
             return
         m = np.unique(m, axis=0) if len(m) < 1 << 22 else m
@@ -198,14 +276,15 @@ def pairs(packed: DataFrame, p: Passages, buckets: int) -> DataFrame:
         m, shift = m[order], shift[order]
         at = np.flatnonzero(np.append(True, (np.diff(m[:, 0]) != 0) | (np.diff(m[:, 1]) != 0) | (np.diff(shift) != 0)))
         hit = np.append(True, (np.diff(m[:, 2]) != 0)) | np.isin(np.arange(len(m)), at)  # a token counts once
-        columns = [m[at, 0], m[at, 1], shift[at], np.add.reduceat(hit.astype(np.int32), at), np.minimum.reduceat(m[:, 2] - np.minimum(m[:, 4], p.margin), at), np.maximum.reduceat(m[:, 2] + np.minimum(m[:, 5], p.margin), at), np.minimum.reduceat(m[:, 3], at), np.maximum.reduceat(m[:, 3], at)]
-        names = [c.split()[0] for c in MEETING.split(", ")]
-        for lo in range(0, len(at), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + (1 << 16)].astype(np.int32 if n == "n" else np.int64)) for c, n in zip(columns, names, strict=True)], names)
+        n = np.full(len(at), p.needed) if exact else np.add.reduceat(hit.astype(np.int32), at)
+        yield from batches_of([m[at, 0], m[at, 1], shift[at], n, np.minimum.reduceat(m[:, 2] - np.minimum(m[:, 4], p.margin), at), np.maximum.reduceat(m[:, 2] + np.minimum(m[:, 5], p.margin), at), np.minimum.reduceat(m[:, 3], at), np.maximum.reduceat(m[:, 3], at)], False)
+
+    return added_up(packed.repartitionById(buckets, "bucket").mapInArrow(run, MEETING), p)
+
 
-    met = packed.repartitionById(buckets, "bucket").mapInArrow(run, MEETING)
-    total = met.groupBy("early", "late", "shift").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"), F.min("low").alias("low"), F.max("high").alias("high"))
-    return total.filter(F.col("n") >= p.needed).drop("n", "shift")
+def added_up(met: DataFrame, p: Passages) -> DataFrame:
+    total = met.groupBy("early", "late", "shift", "hot").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return total.filter(F.col("n") >= p.needed)
 
 
 def token_table(documents: DataFrame, p: Passages, wanted, size: int) -> DataFrame:
@@ -285,7 +364,14 @@ def repeats(documents: DataFrame, p: Passages = Passages()) -> DataFrame:
     spark = documents.sparkSession
     work = common.Workspace(spark, "passages")
     buckets = common.partitions(spark)
-    found = work.keep(pairs(make_windows(documents, p, buckets), p, buckets), "pairs")
+    met = work.keep(pairs(make_windows(documents, p, buckets), p, buckets), "met")
+    hot = met.filter("hot").select(F.col("early").bitwiseAND(0x7FFFFFFFFFFFFFFF).alias("place"))
+    near, n_hot = met.filter("not hot"), hot.count()
+    if n_hot:
+        marks = spark.sparkContext.broadcast(bit_filter(hot, 1 << min(28, max(20, int(16 * n_hot).bit_length())), F.col("place")))
+        near = added_up(near.unionByName(pairs(make_windows(documents, p, buckets, marks), p, buckets, exact=True)), p)
+    found = work.keep(near.drop("n", "shift", "hot"), "pairs")
+    work.drop("met")
     ids = found.select(F.col("early").alias("doc_id")).unionByName(found.select(F.col("late").alias("doc_id"))).distinct()
     ids = work.keep(ids, "ids")
     size = 1 << min(28, max(20, int(16 * max(1, ids.count())).bit_length()))

@@ -178,3 +178,24 @@ def test_periodic_texts_meet_at_their_ends(frame):
     texts = [f"{prose(i, 20)} {'is on ' * (60 + i)}{prose(50 + i, 20)}" for i in range(30)]
     got = {r.doc_id: r for r in substring_dedup.repeats(frame(texts)).collect()}
     assert set(got) == set(range(1, 30)) and all(r.n_words >= 110 for r in got.values())
+
+
+def held_passages(frame, texts):
+    """Words of each document that repeats() reports."""
+    got = {}
+    for r in substring_dedup.repeats(frame(texts)).collect():
+        got.setdefault(r.doc_id, set()).update(range(r.first_word, r.first_word + r.n_words))
+    return got
+
+
+@pytest.mark.parametrize("line_words", [40, 45, 48])
+def test_rare_passages_around_a_hot_line(frame, line_words):
+    """Many documents hold a line of under 50 words; pairs of them, far from each other, a passage around it."""
+    line, texts = prose(7000, line_words), []
+    for trial in range(12):
+        extra = 50 - line_words + trial % 3
+        left = trial % (extra + 1)
+        body = f"{prose(7100 + trial, left)} {line} {prose(7200 + trial, extra - left)}"
+        texts += [f"{prose(8000 + 10 * trial + i, 30)} {body if i in (2, 5) else line} {prose(9000 + 10 * trial + i, 30)}" for i in range(8)]
+    got, want = held_passages(frame, texts), exact(texts, range(len(texts)))
+    assert len(want) >= 12 and all(want[d] <= got.get(d, set()) for d in want)
