@@ -5,11 +5,11 @@ min-hashes has a node for every token c that is the least within some stretch [a
 subsequences of [a, b] that hold c, as they share that signature. Only nodes with `least` tokens or more matter; they
 are the minima of a sliding window of that size, and the tree over them alone gives the same stretches.
 
-1. One pass makes the windows (value, document, c, a, b, and the tokens `apart` to either side, which tell apart the
-   passages in which a frequent shingle occurs).
-2. Windows meet by value. Among those of equal value and equal token on the left, or on the right, each document is
-   paired with the first (smallest doc_id) and with the one before it: linear in the windows, however many share a
-   passage. Collisions of a pair add up by alignment; pairs that share too few are dropped.
+1. One pass makes the windows (value, document, c, a, b, and the least token some places to either side, up to `apart`,
+   which tell apart the passages in which a frequent shingle occurs).
+2. Windows meet by value: each document is paired with the first (smallest doc_id) and with the one before it. Where
+   three or more windows share a value, the same is done among those of equal token on the left, or on the right. All
+   of it is linear in the windows, however many share a passage. Collisions of a pair add up by alignment; pairs that share too few are dropped.
 3. Where three or more windows share value and side token (a frequent line in different passages), the first and the
    previous document needn't hold the same passage. A second pass hashes every stretch of `least` tokens whose least
    token under any function has such a value, and each document is paired with the first that holds the same stretch:
@@ -53,6 +53,7 @@ class Passages:
     needed: int = 2  # collisions of a pair
     percent: int = 80
     apart: int = 22
+    beside: int = 9  # places that a side token is the least of
     margin: int = 64
     slack: int = 8
     band: int = 6  # alignments are grouped by shifts of 2^band
@@ -111,9 +112,11 @@ def windows(tokens: np.ndarray, first: np.ndarray, docs: np.ndarray, p: Passages
         rows = np.zeros(len(c), WINDOW)
         rows["value"], rows["doc"], rows["c"] = h[c], docs[own], c - first[own]
         rows["left"], rows["right"] = np.minimum(c - np.array(a), 65535), np.minimum(np.array(b) - c, 65535)
-        for name, other in (("before", c - p.apart), ("after", c + p.apart)):
-            inside = (other >= first[own]) & (other < first[own + 1])
-            rows[name] = np.where(inside, (tokens[np.where(inside, other, 0)] >> U(32)) | U(1), U(0)).astype(np.uint32)
+        wide = min(p.beside, p.apart)
+        least = sliding_least(tokens, wide)
+        for name, lo in (("before", c - p.apart), ("after", c + p.apart - wide + 1)):
+            inside = (lo >= first[own]) & (lo + wide <= first[own + 1])
+            rows[name] = np.where(inside, (least[np.where(inside, lo, 0)] >> U(32)) | U(1), U(0)).astype(np.uint32)
         out.append(rows)
     return np.concatenate(out)
 
@@ -234,11 +237,16 @@ def meet_first(own: np.ndarray, new: np.ndarray, previous: bool) -> list[np.ndar
 
 
 def meetings(rows: np.ndarray, p: Passages) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of two documents that share value and a token `apart`, as rows of met(); and the values of which three or
-    more windows do, in two documents or more."""
-    found, hot = [np.zeros((0, 6), np.int64)], [np.zeros(0, U)]
+    """Windows of two documents that share a value, as rows of met(); and the values of which three or more windows share a
+    side token too, in two documents or more."""
+    if len(rows) < 2:
+        return np.zeros((0, 6), np.int64), np.zeros(0, U)
+    rows, new = runs_of(rows, "value")
+    found, hot = meet_first(rows, new, True), [np.zeros(0, U)]
+    head = np.flatnonzero(new)
+    many = rows[np.repeat(np.diff(np.append(head, len(rows))) > 2, np.diff(np.append(head, len(rows))))]
     for side in ("before", "after"):
-        own, new = runs_of(rows[rows[side] != 0], "value", side)
+        own, new = runs_of(many[many[side] != 0], "value", side)
         if len(own) < 2:
             continue
         found += meet_first(own, new, True)
