@@ -16,7 +16,7 @@ are the minima of a sliding window of that size, and the tree over them alone gi
    exact repeats are found however frequent the line in them is. The values are known by a bit filter; values that it
    marks by chance only add work.
 4. The pairs' stretches are cut from the token rows of the documents they name (a bit filter keeps other texts out of
-   the shuffle), aligned, and verified: spans of `least` tokens or more of which 80 % lie in the other text.
+   the shuffle), aligned, and verified (where a few words repeat over and over, by what the other stretch holds anywhere): spans of `least` tokens or more of which 80 % lie in the other text.
 
 A verified span is a repeat of an earlier document's passage; overlapping spans of a document merge.
 
@@ -40,7 +40,7 @@ from .jaccard_join import bit_filter, split_by
 
 U = np.uint64
 PLACE = U((1 << 28) - 1)
-WINDOW = np.dtype([("value", "<u8"), ("doc", "<i8"), ("c", "<u4"), ("left", "<u2"), ("right", "<u2"), ("before", "<u4"), ("after", "<u4")])
+WINDOW = np.dtype([("value", "<u8"), ("doc", "<i8"), ("c", "<u4"), ("left", "<u2"), ("right", "<u2"), ("before", "<u4"), ("after", "<u4"), ("chain", "<i4")])
 #: Keys of the min-hash functions: fixed arbitrary odd numbers.
 SEEDS = (0x9AE16A3B2F90404F, 0xC3A5C85C97CB3127, 0xB492B66FBE98F273, 0x9FB21C651E98DF25)
 
@@ -123,11 +123,14 @@ def windows(tokens: np.ndarray, first: np.ndarray, docs: np.ndarray, p: Passages
 
 def unchained(rows: np.ndarray, p: Passages) -> np.ndarray:
     """Of windows of one value that follow each other in a text within `least` tokens, as where a few words repeat over and
-    over, the first and the last; both ends of such a stretch still meet those of others."""
-    if len(rows) < 3:
+    over, the first and the last. Each says in `chain` how far off the other is, so that a pair's stretches reach over all of it."""
+    if len(rows) < 2:
         return rows
     rows = rows[np.lexsort((rows["c"], rows["value"], rows["doc"]))]
     near = (rows["doc"][1:] == rows["doc"][:-1]) & (rows["value"][1:] == rows["value"][:-1]) & (rows["c"][1:].astype(np.int64) - rows["c"][:-1] < p.least)
+    head, tail = np.flatnonzero(~np.append(False, near)), np.flatnonzero(~np.append(near, False))
+    rows["chain"][tail] = rows["c"][head].astype(np.int64) - rows["c"][tail]
+    rows["chain"][head] -= rows["chain"][tail]  # a chain of one window keeps 0
     return rows[~(np.append(False, near) & np.append(near, False))]
 
 
@@ -200,7 +203,8 @@ def make_windows(documents: DataFrame, p: Passages, buckets: int, hot=None) -> D
     return documents.filter("doc_id is not null").select("doc_id", "text").mapInArrow(run, "bucket int, rows binary")
 
 
-MEETING = "early long, late long, shift long, n int, first long, last long, low long, high long, hot boolean"
+MEETING = "early long, late long, shift long, n int, first long, last long, low long, high long, early_first long, early_last long, chained int, hot boolean"
+PAIR = 11  # columns of met()
 
 
 def runs_of(rows: np.ndarray, *keys: str) -> tuple[np.ndarray, np.ndarray]:
@@ -214,12 +218,17 @@ def runs_of(rows: np.ndarray, *keys: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def met(own: np.ndarray, at: np.ndarray, o: np.ndarray) -> np.ndarray:
-    """Rows `at` met with earlier documents' rows `o`: columns early, late, c in late, alignment, reach to the left and right."""
-    part = np.zeros((len(at), 6), np.int64)
+    """Rows `at` met with earlier documents' rows `o`: columns early, late, c in late, alignment, reach to the left and
+    right, first and last c of the chain in late and in early, and whether there is a chain."""
+    part = np.zeros((len(at), PAIR), np.int64)
     part[:, 0], part[:, 1], part[:, 2] = own["doc"][o], own["doc"][at], own["c"][at]
     part[:, 3] = own["c"][at].astype(np.int64) - own["c"][o]
     part[:, 4] = np.minimum(own["left"][at], own["left"][o])
     part[:, 5] = np.minimum(own["right"][at], own["right"][o])
+    for k, i in ((6, at), (8, o)):
+        c, chain = own["c"][i].astype(np.int64), own["chain"][i].astype(np.int64)
+        part[:, k], part[:, k + 1] = c + np.minimum(chain, 0), c + np.maximum(chain, 0)
+    part[:, 10] = (own["chain"][at] != 0) | (own["chain"][o] != 0)
     return part
 
 
@@ -240,7 +249,7 @@ def meetings(rows: np.ndarray, p: Passages) -> tuple[np.ndarray, np.ndarray]:
     """Windows of two documents that share a value, as rows of met(); and the values of which three or more windows share a
     side token too, in two documents or more."""
     if len(rows) < 2:
-        return np.zeros((0, 6), np.int64), np.zeros(0, U)
+        return np.zeros((0, PAIR), np.int64), np.zeros(0, U)
     rows, new = runs_of(rows, "value")
     found, hot = meet_first(rows, new, True), [np.zeros(0, U)]
     head = np.flatnonzero(new)
@@ -263,19 +272,19 @@ def pairs(packed: DataFrame, p: Passages, buckets: int, exact: bool = False) ->
 
     def batches_of(columns: list[np.ndarray], hot: bool) -> Iterator[pa.RecordBatch]:
         for lo in range(0, len(columns[0]), 1 << 16):
-            part = [pa.array(c[lo : lo + (1 << 16)].astype(np.int32 if n == "n" else np.int64)) for c, n in zip(columns, names, strict=False)]
+            part = [pa.array(c[lo : lo + (1 << 16)].astype(np.int32 if n in ("n", "chained") else np.int64)) for c, n in zip(columns, names, strict=False)]
             yield pa.RecordBatch.from_arrays([*part, pa.array(np.full(len(part[0]), hot))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = [b for batch in batches for b in batch.column("rows").to_pylist()]
         rows = np.frombuffer(b"".join(blobs), WINDOW)
         if exact:
-            m, hot = np.concatenate(meet_first(*runs_of(rows, "value"), False)) if len(rows) else np.zeros((0, 6), np.int64), np.zeros(0, U)
+            m, hot = np.concatenate(meet_first(*runs_of(rows, "value"), False)) if len(rows) else np.zeros((0, PAIR), np.int64), np.zeros(0, U)
         else:
             m, hot = meetings(rows, p)
         if len(hot):
             none = np.zeros(len(hot), np.int64)
-            yield from batches_of([hot.view(np.int64), none, none, none + p.needed, none, none, none, none], True)
+            yield from batches_of([hot.view(np.int64), none, none, none + p.needed, *[none] * 7], True)
         if not len(m):
             return
         m = np.unique(m, axis=0) if len(m) < 1 << 22 else m
@@ -285,13 +294,18 @@ def pairs(packed: DataFrame, p: Passages, buckets: int, exact: bool = False) ->
         at = np.flatnonzero(np.append(True, (np.diff(m[:, 0]) != 0) | (np.diff(m[:, 1]) != 0) | (np.diff(shift) != 0)))
         hit = np.append(True, (np.diff(m[:, 2]) != 0)) | np.isin(np.arange(len(m)), at)  # a token counts once
         n = np.full(len(at), p.needed) if exact else np.add.reduceat(hit.astype(np.int32), at)
-        yield from batches_of([m[at, 0], m[at, 1], shift[at], n, np.minimum.reduceat(m[:, 2] - np.minimum(m[:, 4], p.margin), at), np.maximum.reduceat(m[:, 2] + np.minimum(m[:, 5], p.margin), at), np.minimum.reduceat(m[:, 3], at), np.maximum.reduceat(m[:, 3], at)], False)
+        left, right = np.minimum(m[:, 4], p.margin), np.minimum(m[:, 5], p.margin)
+        low = [np.minimum(m[:, 2] - left, m[:, 6]), np.minimum(m[:, 2] - m[:, 3] - left, m[:, 8]), m[:, 3]]
+        high = [np.maximum(m[:, 2] + right, m[:, 7]), np.maximum(m[:, 2] - m[:, 3] + right, m[:, 9]), m[:, 3], m[:, 10]]
+        (first, early_first, least), (last, early_last, most, chained) = ([f.reduceat(x, at) for x in xs] for f, xs in ((np.minimum, low), (np.maximum, high)))
+        yield from batches_of([m[at, 0], m[at, 1], shift[at], n, first, last, least, most, early_first, early_last, chained], False)
 
     return added_up(packed.repartitionById(buckets, "bucket").mapInArrow(run, MEETING), p)
 
 
 def added_up(met: DataFrame, p: Passages) -> DataFrame:
-    total = met.groupBy("early", "late", "shift", "hot").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"), F.min("low").alias("low"), F.max("high").alias("high"))
+    least, most = ("first", "low", "early_first"), ("last", "high", "early_last", "chained")
+    total = met.groupBy("early", "late", "shift", "hot").agg(F.sum("n").cast("int").alias("n"), *[F.min(c).alias(c) for c in least], *[F.max(c).alias(c) for c in most])
     return total.filter(F.col("n") >= p.needed)
 
 
@@ -344,14 +358,15 @@ SPAN = "doc_id long, begin long, end long, kept_doc_id long, matches long"
 def verify(found: DataFrame, tokens: DataFrame, p: Passages) -> DataFrame:
     """Spans of tokens [begin, end) of doc_id that repeat a passage of kept_doc_id."""
     m = p.margin
-    lo_e, hi_e = F.greatest(F.lit(0), F.col("first") - F.col("high") - m), F.col("last") - F.col("low") + m + 1
+    lo_e = F.greatest(F.lit(0), F.least(F.col("first") - F.col("high"), "early_first") - m)
+    hi_e = F.greatest(F.col("last") - F.col("low"), "early_last") + m + 1
     lo_l, hi_l = F.greatest(F.lit(0), F.col("first") - m), F.col("last") + m + 1
 
     def piece(lo, hi):
         return F.substring(F.col("tokens"), (4 * lo + 1).cast("int"), (4 * (hi - lo)).cast("int"))
 
-    early = found.join(tokens.withColumnRenamed("doc_id", "early"), "early").select("early", "late", "first", "last", "low", "high", lo_e.alias("early_at"), piece(lo_e, hi_e).alias("early_tokens"))
-    both = early.join(tokens.withColumnRenamed("doc_id", "late"), "late").select("early", "late", "low", "high", "early_at", "early_tokens", lo_l.alias("late_at"), piece(lo_l, hi_l).alias("late_tokens"))
+    early = found.join(tokens.withColumnRenamed("doc_id", "early"), "early").select("early", "late", "first", "last", "low", "high", "chained", lo_e.alias("early_at"), piece(lo_e, hi_e).alias("early_tokens"))
+    both = early.join(tokens.withColumnRenamed("doc_id", "late"), "late").select("early", "late", "low", "high", "chained", "early_at", "early_tokens", lo_l.alias("late_at"), piece(lo_l, hi_l).alias("late_tokens"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -360,6 +375,8 @@ def verify(found: DataFrame, tokens: DataFrame, p: Passages) -> DataFrame:
                 x, y = np.frombuffer(r["late_tokens"], "<u4"), np.frombuffer(r["early_tokens"], "<u4")
                 middle = (r["low"] + r["high"]) // 2
                 hit = aligned(x, y, middle - r["late_at"] + r["early_at"], p.slack + (r["high"] - r["low"] + 1) // 2)
+                if r["chained"]:  # words over and over have no one alignment
+                    hit |= np.isin(x, y)
                 rows += [(r["late"], r["late_at"] + b, r["late_at"] + e, r["early"], n) for b, e, n in spans_of(hit, p)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], [c.split()[0] for c in SPAN.split(", ")])

@@ -222,3 +222,13 @@ def test_passages_with_a_word_more_or_less(frame, change):
     got = held_passages(frame, texts)
     print(change, len(want), len(want & set(got)))
     assert len(want) >= 45 and len(want & set(got)) >= 0.9 * len(want) and set(got) <= want
+
+
+def test_long_periodic_stretches_of_unequal_length(frame):
+    """Repeated words over thousands of places, longer in one text than in another: all of it is found, either way round."""
+    unit, other, third = prose(30, 9), prose(31, 2), prose(32, 13)
+    sizes = [(unit, 220, 330), (other, 1500, 700), (third, 160, 12), (third.replace("a", "o"), 12, 240)]
+    texts = [f"{prose(40 + 2 * i + j, 30)} {' '.join([u] * n)} {prose(60 + 2 * i + j, 30)}" for i, (u, *ns) in enumerate(sizes) for j, n in enumerate(ns)]
+    got, want = held_passages(frame, texts), exact(texts, range(len(texts)))
+    assert set(want) == {1, 3, 5, 7} and set(got) == set(want)
+    assert all(want[d] <= got[d] and len(got[d] - want[d]) <= 12 for d in want)
