@@ -1,7 +1,8 @@
 """Quality rules by compression bands.
 
 A text passes when its base counts are sound and its zstandard ratio (compressed over raw bytes) lies inside the
-band for its length, both as a whole and in every fixed chunk. Very low ratios mean repetition, very high ones
+band for its length, both as a whole and in every fixed chunk from 4096 bytes on, the last of
+which ends with the text and overlaps the one before (below 8192 bytes, in the text's own band). Very low ratios mean repetition, very high ones
 noise that no language compresses like.
 
 Edge cases: a null text counts as empty; an empty text, or one of white space, has no words and fails; repeated
@@ -45,12 +46,13 @@ class Bands:
 
 
 def ratios(raw: bytes, bands: Bands, pack: zstandard.ZstdCompressor) -> tuple[float, float, float]:
-    """Of the whole text, and the lowest and highest of its full chunks (those of the whole where there is none)."""
+    """Of the whole text, and the lowest and highest of its chunks, the last of which ends with the text (those of the whole where there is none)."""
     whole = len(pack.compress(raw)) / max(1, len(raw))
     step = bands.chunk_bytes
-    if len(raw) < 2 * step:
+    if len(raw) < step:
         return whole, whole, whole
-    each = [len(pack.compress(raw[i : i + step])) / step for i in range(0, len(raw) - step + 1, step)]
+    starts = [*range(0, len(raw) - step, step), len(raw) - step]
+    each = [len(pack.compress(raw[i : i + step])) / step for i in starts]
     return whole, min(each), max(each)
 
 
@@ -58,8 +60,9 @@ def verdict(raw: bytes, bands: Bands, pack: zstandard.ZstdCompressor) -> tuple[b
     whole, low, high = ratios(raw, bands, pack)
     least, most = bands.limits(len(raw))
     fits = least <= whole <= most
-    if len(raw) >= 2 * bands.chunk_bytes:
-        fits = fits and bands.chunk[0] <= low and high <= bands.chunk[1]
+    if len(raw) >= bands.chunk_bytes:
+        lowest, highest = bands.chunk if len(raw) >= 2 * bands.chunk_bytes else (least, most)
+        fits = fits and lowest <= low and high <= highest
     return fits, whole, low, high
 
 

@@ -1,3 +1,5 @@
+import base64
+import random
 import re
 from collections import Counter
 
@@ -128,3 +130,19 @@ def test_probabilities_sum_to_one():
     every = np.arange(64)
     some = np.repeat(contexts[:, 2:3], 64, axis=1)
     assert abs(np.exp(model.log_probability(every, some)).sum() - 1) < 1e-9
+
+
+def test_noise_at_the_end_fails_as_at_the_start():
+    pack = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
+    r = random.Random(3)
+    for size, extra in ((8000, 4000), (12000, 4000), (3500, 3500)):
+        text, noise = english(r, size), base64.b64encode(r.randbytes(extra))[:extra]
+        assert quality_rules.verdict(text, Bands(), pack)[0] and quality_rules.verdict(text + english(r, extra), Bands(), pack)[0]
+        assert not quality_rules.verdict(noise + b" " + text, Bands(), pack)[0]
+        assert not quality_rules.verdict(text + b" " + noise, Bands(), pack)[0]
+
+
+def english(r, size):
+    """Frequent words and rarer ones, which compress about as prose does."""
+    often = [prose(i, 1) for i in range(60)]
+    return " ".join(r.choice(often) if r.random() < 0.5 else "".join(r.choices("etaoinshrdlucmfwyp", k=6)) for _ in range(size)).encode()[:size].decode(errors="ignore").encode()
