@@ -10,19 +10,6 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_BASE = 0x9E3779B97F4A7C15 | 1
-_powers = np.ones(1, U)
-
-
-def powers(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        full = np.full(max(n, 64), _BASE, U)
-        full[0] = 1
-        _powers = np.multiply.accumulate(full)
-    return _powers
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection on 64-bit numbers that spreads every bit."""
     x = x ^ (x >> U(30))
@@ -32,14 +19,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def drawn(byte: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A number drawn for each byte value at each place of a segment: not linear in either, so that no arrangement of few
+    bytes makes sums of them equal, as it would with powers of a base."""
+    return mix(mix((place.astype(U) + U(1)) * U(0x9E3779B97F4A7C15)) ^ (byte.astype(U) + U(1)) * U(0xC2B2AE3D27D4EB4F))
+
+
+#: drawn() for the first places, which nearly all bytes have.
+_NEAR = 64
+_TABLE = drawn(np.tile(np.arange(256), _NEAR), np.repeat(np.arange(_NEAR), 256))
+
+
 def segment_hashes(raw: np.ndarray, starts: np.ndarray, counted: np.ndarray | None = None) -> np.ndarray:
-    """64-bit hash of each segment [starts[i], starts[i+1]) of raw; the first segment starts at 0. Bytes that aren't counted are left out."""
+    """64-bit hash of each segment [starts[i], starts[i+1]) of raw, from the numbers drawn for its bytes; the first segment
+    starts at 0. Bytes that aren't counted are left out."""
     if not len(starts):
         return np.zeros(0, U)
     n = len(raw)
     sizes = np.diff(np.append(starts, n))
     local = np.arange(n, dtype=np.int64) - np.repeat(starts, sizes)
-    value = (raw.astype(U) + U(1)) * powers(int(sizes.max()))[local]
+    value = _TABLE[np.minimum(local, _NEAR - 1) * 256 + raw]
+    far = np.flatnonzero(local >= _NEAR)
+    if len(far):
+        value[far] = drawn(raw[far], local[far])
     length = sizes
     if counted is not None:
         value[~counted] = 0

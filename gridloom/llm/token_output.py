@@ -6,7 +6,7 @@ Shard file, little endian:
 A document's ids can be read alone: footer, then one frame. The dictionary lies beside the shards in `dictionary`;
 the manifest (Parquet) names each shard, its place in the order, its documents and ids and the ids before it.
 
-Steps: fit the dictionary on a bounded sample (`sample_documents`, taken by hash; it affects size only); encode and
+Steps: fit the dictionary on a bounded sample (`sample_documents` and `stretches`, by hash; it affects size only); encode and
 compress in a narrow pass; deal the frames by ranges of doc_id, found from the id column alone, so that no text is
 shuffled; each task streams its range into a file of its own name; the manifest takes only the files of tasks that
 succeeded, so a lost executor or a second attempt leaves at most a file that no reader knows.
@@ -44,26 +44,39 @@ class Format:
     level: int = 3
     dictionary_bytes: int = 64 << 10
     sample_documents: int = 1000
-    sample_bytes: int = 4 << 20
+    stretches: int = 8  # of a sampled document
+    stretch_ids: int = 256
 
 
 def store(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
 
 
-def _fit(documents: DataFrame, path: str, form: Format) -> zstandard.ZstdCompressionDict | None:
-    """From the documents with the lowest hashes, about `sample_documents` whatever the table; None where there is too little to learn from."""
-    sample = common.hash_sample(documents, "doc_id", form.sample_documents).select(F.substring("text", 1, form.sample_bytes // form.sample_documents).alias("text"))
-    texts = pa.array([r[0] for r in sample.collect()], pa.string())
-    enc = tokens.encoder(path)
-    ids, at = enc.encode(*common.utf8(texts))
-    parts = [ids[at[i] : at[i + 1]].tobytes() for i in range(len(texts))]
-    if sum(map(len, parts)) < 8 * form.dictionary_bytes:
-        return None
+def _fit(documents: DataFrame, path: str, form: Format) -> bytes:
+    """A dictionary trained on ids of about `sample_documents` documents, taken by hash: `stretches` of each, evenly spread
+    over all of its ids. Where that is too little for zstandard's training, the ids themselves are the dictionary."""
+    sample = common.hash_sample(documents, "doc_id", form.sample_documents).select("text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = tokens.encoder(path)
+        for batch in batches:
+            raw, at = common.utf8(batch.column("text"))
+            for lo, hi in common.slices(at, 1 << 21):
+                ids, before = enc.encode(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
+                parts = []
+                for i in range(hi - lo):
+                    own = ids[before[i] : before[i + 1]]
+                    last = max(0, len(own) - form.stretch_ids)
+                    n = min(form.stretches, -(-len(own) // form.stretch_ids))
+                    parts += [own[x : x + form.stretch_ids].tobytes() for x in np.linspace(0, last, n).astype(int).tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary())], ["ids"])
+
+    parts = sorted(bytes(r[0]) for r in sample.mapInArrow(cut, "ids binary").collect())
+    total = sum(map(len, parts))
     try:
-        return zstandard.train_dictionary(form.dictionary_bytes, parts, level=form.level)
+        return zstandard.train_dictionary(min(form.dictionary_bytes, total // 8), parts, level=form.level).as_bytes()
     except zstandard.ZstdError:
-        return None
+        return b"".join(parts)[: form.dictionary_bytes]
 
 
 def _bounds(documents: DataFrame, n: int) -> list[int]:
@@ -80,8 +93,7 @@ def write(documents: DataFrame, root: str, path: str, form: Format = Format(), s
     common.tune(spark)
     documents = documents.select("doc_id", "text")
     n = shards or common.partitions(spark)
-    fitted = _fit(documents, path, form)
-    dictionary = fitted.as_bytes() if fitted else b""
+    dictionary = _fit(documents, path, form)
     digest = xxhash.xxh64_intdigest(dictionary)
     fs, folder = store(root)
     fs.create_dir(folder, recursive=True)

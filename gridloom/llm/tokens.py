@@ -1,8 +1,10 @@
 """Byte-level BPE ids with the tokenizers library, for many texts at once.
 
 The library's own splitting costs about one microsecond a byte, its merging far less. Texts are therefore cut
-where a token of this kind begins whatever surrounds it; each distinct unit is split and merged once with the library's model, and its ids are kept for the next texts. Texts with rarer
-white space go to the library whole. The tests hold the ids against the library's own.
+where a token of this kind begins whatever surrounds it; each distinct unit is split and merged once with the library's
+model, and its ids are kept for the next texts. A unit is looked up by a hash and then compared byte by byte. Texts with
+rarer white space, with the string of an added token, or with a unit that shares another's hash go to the library whole.
+The tests hold the ids against the library's own.
 """
 
 from __future__ import annotations
@@ -57,7 +59,7 @@ class BpeEncoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
         self.model = self.whole.model
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.table = {b: ord(c) for b, c in _alphabet().items()}
@@ -70,6 +72,8 @@ class BpeEncoder:
         self.size = np.zeros(1 << 12, np.int64)
         self.flat = np.zeros(1 << 14, self.dtype)
         self.used = 0
+        self.text_at = np.zeros((1 << 12) + 1, np.int64)  # where each unit's bytes begin, and the last one's end
+        self.text = np.zeros(1 << 16, np.uint8)
 
     def _unit(self, raw: bytes) -> list[int]:
         tokenize, table = self.model.tokenize, self.table
@@ -87,12 +91,37 @@ class BpeEncoder:
         while len(self.start) < n + len(keys):
             self.start = np.concatenate([self.start, np.zeros(len(self.start), np.int64)])
             self.size = np.concatenate([self.size, np.zeros(len(self.size), np.int64)])
+            self.text_at = np.concatenate([self.text_at, np.zeros(len(self.text_at) - 1, np.int64)])
+        ends = int(self.text_at[n]) + np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))
+        while len(self.text) < ends[-1]:
+            self.text = np.concatenate([self.text, np.zeros(len(self.text), np.uint8)])
+        self.text[self.text_at[n] : ends[-1]] = np.frombuffer(b"".join(units), np.uint8)
+        self.text_at[n + 1 : n + 1 + len(units)] = ends
         self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), self.dtype, total)
         self.start[n : n + len(keys)] = self.used + np.cumsum(sizes) - sizes
         self.size[n : n + len(keys)] = sizes
         self.used += total
         self.known.update(zip(keys, range(n, n + len(keys)), strict=True))
 
+    def _added(self, raw: np.ndarray) -> list[int]:
+        """Places of the added tokens' strings."""
+        data, found = raw.tobytes(), []
+        for s in self.added:
+            i = data.find(s)
+            while i >= 0:
+                found.append(i)
+                i = data.find(s, i + 1)
+        return found
+
+    def _mistaken(self, raw: np.ndarray, starts: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Units that aren't, byte by byte, the ones that their hashes found."""
+        size = np.diff(np.append(starts, len(raw)))
+        wrong = self.text_at[slot + 1] - self.text_at[slot] != size
+        own = self.text[np.minimum(common.ragged(self.text_at[slot], size), len(self.text) - 1)]
+        differs = np.flatnonzero(own != raw)
+        wrong[np.searchsorted(starts, differs, "right") - 1] = True
+        return np.flatnonzero(wrong)
+
     def encode(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the number of ids before each text (one entry more than texts)."""
         n_texts = len(at) - 1
@@ -104,6 +133,7 @@ class BpeEncoder:
                     odd[i] = self.whole.encode(text, add_special_tokens=False).ids
         if not len(raw):
             return np.zeros(0, self.dtype), np.zeros(n_texts + 1, np.int64)
+        whole = self._added(raw)
         # A token surely begins at white space after another character, at punctuation after an ASCII letter, and at
         # an ASCII letter after one character of white space other than a space.
         cut = np.zeros(len(raw), bool)
@@ -122,6 +152,9 @@ class BpeEncoder:
             s, e, data = starts[first[new]].tolist(), ends[first[new]].tolist(), raw.tobytes()
             self._learn([named[i] for i in new], [data[a:b] for a, b in zip(s, e, strict=True)])
         slot = np.fromiter(map(self.known.__getitem__, named), np.int64, len(named))[inverse]
+        whole += starts[self._mistaken(raw, starts, slot)].tolist()
+        for i in set((np.searchsorted(at, np.array(whole, np.int64), "right") - 1).tolist()) - set(odd):
+            odd[i] = self.whole.encode(raw[at[i] : at[i + 1]].tobytes().decode("utf-8"), add_special_tokens=False).ids
         sizes = self.size[slot]
         before = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.flat[common.ragged(self.start[slot], sizes)]

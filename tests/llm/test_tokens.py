@@ -4,17 +4,26 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from corpus_texts import prose
+from tokenizers import Tokenizer
 
-from gridloom.llm import common, cutting_stock, packing, token_output, tokens
+from gridloom.llm import common, cutting_stock, packing, textkernel, token_output, tokens
 
 PATH = tokens.byte_bpe_path()
 
 
 def library(texts, end):
-    t = tokens.encoder(PATH).whole
+    t = Tokenizer.from_file(PATH)
     return [t.encode(x or "", add_special_tokens=False).ids + [end] for x in texts]
 
 
+def thue_morse(steps: int) -> list[str]:
+    """Two words of 2^steps letters whose hashes agree under any polynomial modulo 2^64 from 10 steps on."""
+    word = "a"
+    for _ in range(steps):
+        word += word.translate({97: 98, 98: 97})
+    return [word, word.translate({97: 98, 98: 97})]
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
@@ -26,6 +35,19 @@ def test_ids_equal_the_library(odd_texts):
     assert [ids[before[i] : before[i + 1]].tolist() for i in range(len(texts))] == [x[:-1] for x in library(texts, 0)]
 
 
+@pytest.mark.parametrize("hashes", ["own", "few"])
+def test_ids_do_not_rest_on_hashes(odd_texts, hashes, monkeypatch):
+    """Long words of two letters, added tokens, and hashes that nearly all collide."""
+    if hashes == "few":
+        plain = textkernel.segment_hashes
+        monkeypatch.setattr(textkernel, "segment_hashes", lambda *a: plain(*a) % textkernel.U(7))
+    one, other = thue_morse(10)
+    texts = [one, other, f"{one} {other}", "hello <|endoftext|> world", "<|endo", "ftext|>", "a<|endoftext|><|endoftext|>"] + odd_texts
+    raw, at = common.utf8(pa.array(texts, pa.string()))
+    ids, before = tokens.BpeEncoder(PATH).encode(raw, at)
+    assert [ids[before[i] : before[i + 1]].tolist() for i in range(len(texts))] == [x[:-1] for x in library(texts, 0)]
+
+
 def test_units_are_forgotten_beyond_the_bound(odd_texts, monkeypatch):
     e = tokens.BpeEncoder(PATH)
     monkeypatch.setattr(e, "MOST", 5)
@@ -53,6 +75,7 @@ def test_token_output_round_trip(spark, frame, odd_texts, texts, tmp_path):
     if texts:
         row = manifest.first()
         dictionary = (tmp_path / "out/dictionary").read_bytes()
+        assert dictionary
         shard = token_output.ShardReader(root, row.path, dictionary)
         assert [x.tolist() for x in shard.find(int(shard.doc_ids[0]))] == [library([texts[ids.index(int(shard.doc_ids[0]))]], form.end_id)[0]]
         with pytest.raises(ValueError):
