@@ -11,8 +11,11 @@ from gridloom.llm import common, cutting_stock, packing, textkernel, token_outpu
 PATH = tokens.byte_bpe_path()
 
 
+LIBRARY = Tokenizer.from_file(PATH)
+
+
 def library(texts, end):
-    t = Tokenizer.from_file(PATH)
+    t = LIBRARY
     return [t.encode(x or "", add_special_tokens=False).ids + [end] for x in texts]
 
 
