@@ -86,6 +86,16 @@ def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.limit(rows)
 
 
+def attach(left: DataFrame, right: DataFrame, on: list[str], weight: str, rows: int, how: str, least: int = 64, most: int = 1 << 16) -> DataFrame:
+    """Joins `right`, unique in `on`, to left's `rows` rows; its column `weight` says how many rows of left share each key.
+    Those with many are broadcast (fewer than `most`, as their weights add up to `rows`), so that no task gets all rows of one
+    key; the others meet by shuffle."""
+    heavy = F.col(weight) > max(least, rows // most)
+    hot = F.broadcast(right.filter(heavy).drop(weight))
+    cold = left.join(F.broadcast(right.filter(heavy).select(*on)), on, "left_anti").join(right.filter(~heavy).drop(weight), on, how)
+    return left.join(hot, on).unionByName(cold)
+
+
 def crc_remainder(doc_id, modulus: int):
     """crc32 of the id written as text, modulo."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus

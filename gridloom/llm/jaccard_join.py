@@ -1,21 +1,29 @@
 """N-gram Jaccard join with a token-group matrix, and the components of its links.
 
 A document's set holds the hashes of its distinct word shingles (64 bits). Documents with equal sets form one class, so
-copies are never paired. Classes that share a min-hash form a group; a frequent min-hash is split into groups of about
-`members`. The matrix has a row for each shingle of a group's union, with a bit for each member.
-
-1. One pass gives each document its class, min-hash and set size, and a count sketch of shingle frequencies (fixed size).
-2. A second pass orders each set by (frequency level, hash) and sends on a prefix: two sets of similarity t share at
+copies are never paired. Classes meet in groups of about `members`. A group's matrix has a row for each shingle of the
+union of its sets, with a bit for each member.
+
+1. One pass gives each document its class, `hashes` min-hashes and set size, and a count sketch of shingle frequencies (fixed size).
+2. Classes that share a min-hash form groups; a frequent min-hash makes many groups, and a few of its classes (leaders)
+   stand in all of them. Every overlap within a group is counted in its matrix, and links make first components: the
+   first min-hash over all classes, then the others over one class of each component. However many near copies there
+   are, this work is linear in them, and leaves them in one component or few.
+3. A second pass orders each set by (frequency level, hash) and sends on a prefix: two sets of similarity t share at
    least c shingles in the first n - a + c of each, where a is the overlap they need and c is 5 % of the smaller set.
-   Shingles meet by hash ranges; those of two groups or more count for each pair of groups, if sizes and positions in
-   the prefixes allow the similarity. Pairs of groups with too few common prefix shingles are closed.
-3. A third pass builds the matrices of groups that are left, from texts that a bit filter lets through, and joins them:
+   Groups now hold classes of one component. Shingles meet by hash ranges; those of two groups of different components
+   count for the pair, if sizes and positions in the prefixes allow the similarity. Pairs of groups with too few common
+   prefix shingles are closed, as are those of one component.
+4. A third pass builds the matrices of groups that are left, from texts that a bit filter lets through, and joins them:
    a member stays in play while its overlap with the other group's union reaches t times its size; for those that
    stay, one product of bit matrices gives every overlap exactly. Each pair of groups sends on a spanning forest of
    its links only.
 
-The sketch, the bit filter and the list of split min-hashes are broadcast; their sizes are bounded by parameters, and
-none of them can lose a link: the order of shingles is free as long as it is the same everywhere.
+Step 2 only saves work: step 3 finds every pair of classes that can be similar and isn't linked yet, and all links are
+counted exactly. The sketch and the bit filters are broadcast; their sizes are bounded by parameters, and none of them
+can lose a link: the order of shingles is free as long as it is the same everywhere, and classes that a filter marks by
+chance are treated like those marked on purpose. Equal hashes of different shingles (64 bits, drawn by byte and place)
+or components (64 bits) are left to chance, some 1 in 10^19 for two of them.
 
 Edge cases: null and empty texts, and texts of white space, have an empty set and no links; texts with fewer words than
 a shingle have their whole sequence as the one shingle; a null doc_id takes part but can't name a component unless all
@@ -46,8 +54,9 @@ class Join:
     percent: int = 80
     members: int = 96
     extra: int = 20  # c is a set's size divided by this
+    hashes: int = 4
+    leaders: int = 8  # classes that stand in each group of a frequent min-hash
     sketch_bits: int = 22
-    split_keys: int = 1 << 16
     filter_bits: int = 28
 
     def prefix(self, n):
@@ -92,6 +101,31 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.astype(U).view(np.int64)
 
 
+#: Keys of the min-hash functions: fixed arbitrary odd numbers.
+SEEDS = (0x5851F42D4C957F2D, 0x9AE16A3B2F90404F, 0xC3A5C85C97CB3127, 0xB492B66FBE98F273)
+
+
+def minhashes(s: np.ndarray, j: Join) -> list[int]:
+    return [int(signed(textkernel.mix(s ^ U(seed))).min()) for seed in SEEDS[: j.hashes]]
+
+
+def short(keys: list[bytes]) -> np.ndarray:
+    """The number of a class outside first components: the first 8 bytes of its key."""
+    return np.frombuffer(b"".join(k[:8] for k in keys), "<i8")
+
+
+def named(doc_id, key):
+    """A class's name: its smallest doc_id (a null one last) in bytes that sort like it, then its key. A component's
+    smallest name begins with its smallest doc_id."""
+    digits = F.lpad(F.hex(doc_id.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.concat(F.unhex(F.when(doc_id.isNull(), "01FFFFFFFFFFFFFFFF").otherwise(F.concat(F.lit("00"), digits))), key)
+
+
+def smallest_id(name):
+    number = F.conv(F.hex(F.substring(name, 2, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(-(1 << 63)))
+    return F.when(F.hex(F.substring(name, 1, 1)) == "00", number)
+
+
 # ---- arrays of counts that all tasks add up
 
 
@@ -172,8 +206,8 @@ def add_counts(rows: DataFrame, size: int) -> np.ndarray:
 
 
 def describe(documents: DataFrame, j: Join) -> DataFrame:
-    """Per document: doc_id, n_shingles, key (null for an empty set), minhash; and each task's part of the sketch."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("minhash", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
+    """Per document: doc_id, n_shingles, key (null for an empty set), minhashes; and each task's part of the sketch."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("minhashes", pa.list_(pa.int64())), ("part", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen, waiting, held = np.zeros(1 << j.sketch_bits, np.int64), set(), [], 0
@@ -190,10 +224,10 @@ def describe(documents: DataFrame, j: Join) -> DataFrame:
                 n.append(len(s))
                 if not len(s):
                     key.append(None)
-                    low.append(0)
+                    low.append(None)
                     continue
                 key.append(class_key(s))
-                low.append(int(signed(textkernel.mix(s ^ U(0x5851F42D4C957F2D)).min())))
+                low.append(minhashes(s, j))
                 if key[-1] not in seen:
                     seen.add(key[-1])
                     waiting.append((s >> U(64 - j.sketch_bits)).astype(np.uint32))
@@ -201,13 +235,13 @@ def describe(documents: DataFrame, j: Join) -> DataFrame:
                     if held > 1 << 20:
                         settle()
             size = len(n)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(low, pa.int64()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(low, pa.list_(pa.int64())), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], schema=schema)
         settle()
         parts, blobs = pack_counts(total)
         size = len(parts)
-        yield pa.RecordBatch.from_arrays([pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.binary()), pa.nulls(size, pa.int64()), pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.binary()), pa.nulls(size, pa.list_(pa.int64())), pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], schema=schema)
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id long, n_shingles long, key binary, minhash long, {COUNTS}")
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id long, n_shingles long, key binary, minhashes array<long>, {COUNTS}")
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -217,41 +251,79 @@ def levels(counts: np.ndarray) -> np.ndarray:
     return np.where(counts <= ordinary, 0, 1 + np.log2(np.maximum(1, counts / ordinary))).astype(np.uint8)
 
 
-class Groups:
-    """From a class's min-hash and key to its group. splits: the frequent min-hashes and into how many groups each goes."""
+# ---- 2: first components
 
-    def __init__(self, splits: dict[int, int]):
-        self.splits = splits
 
-    def of(self, minhash: int, key: bytes) -> int:
-        s = self.splits.get(minhash)
-        return minhash if s is None else xxhash.xxh3_64_intdigest(minhash.to_bytes(8, "little", signed=True) + (int.from_bytes(key[:8], "little") % s).to_bytes(8, "little")) - (1 << 63)
+def shared_groups(rows: DataFrame, j: Join, work: common.Workspace, name: str) -> tuple[DataFrame, DataFrame]:
+    """rows: h, m (function and min-hash), name, size, unique in (h, m, name). Returns members (name, group) of min-hashes that two
+    rows or more share, and the leaders (name, groups: all groups of their min-hash) of those with more than `members`."""
+    rows = work.keep(rows, f"{name}-rows")
+    sizes = work.keep(rows.groupBy("h", "m").agg(F.count("*").alias("n")).filter("n > 1"), f"{name}-sizes")
+    chunks = F.ceil(F.col("n") / j.members).cast("long")
+    group = lambda chunk: F.xxhash64(F.col("h"), F.col("m"), chunk)
+    sized = common.attach(rows, sizes.withColumn("weight", F.col("n")), ["h", "m"], "weight", rows.count(), "inner")
+    members = sized.select("name", group(F.pmod(F.xxhash64("name"), chunks)).alias("group"))
+    few = rows.groupBy("h", "m", F.pmod(F.xxhash64("name", F.lit(1)), F.lit(j.leaders)).alias("b")).agg(F.max(F.struct("size", "name")).alias("best"))
+    leaders = few.join(sizes.filter(F.col("n") > j.members), ["h", "m"]).select(F.col("best.name").alias("name"), F.transform(F.sequence(F.lit(0).cast("long"), chunks - 1), group).alias("groups"))
+    return members, leaders
 
 
-# ---- 2: pairs of groups
+def first_links(members: DataFrame, leaders: DataFrame, sets: DataFrame, j: Join) -> DataFrame:
+    """Links within groups; sets: name, tokens. A leader's set is copied to its groups after the join by name."""
+    own = members.join(sets, "name").select("group", "name", "tokens")
+    more = leaders.join(sets, "name").select(F.explode("groups").alias("group"), "name", "tokens")
+    return links_within(matrices(own.unionByName(more), j), j)
 
-POSTING = np.dtype([("token", "<u8"), ("group", "<i8"), ("least", "<u4"), ("most", "<u4"), ("place", "<u4")])
 
+# ---- 3: pairs of groups
 
-def postings(documents: DataFrame, j: Join, level, groups, buckets: int) -> DataFrame:
-    """Packed prefixes, dealt by hash ranges of the shingles: bucket, rows (POSTING)."""
+POSTING = np.dtype([("token", "<u8"), ("component", "<i8"), ("group", "<i8"), ("least", "<u4"), ("most", "<u4"), ("place", "<u4")])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, held, n_held = set(), [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal held, n_held
-            rows = np.concatenate(held)
-            bucket = (textkernel.mix(rows["token"]) % U(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            rows, bucket = rows[order], bucket[order]
-            names, at = np.unique(bucket, return_index=True)
-            ends = np.append(at[1:], len(rows))
-            for lo in range(0, len(names), 64):
-                part = range(lo, min(lo + 64, len(names)))
-                yield pa.RecordBatch.from_arrays([pa.array(names[lo : lo + 64].astype(np.int32)), pa.array([rows[at[i] : ends[i]].tobytes() for i in part], pa.binary())], ["bucket", "rows"])
-            held, n_held = [], 0
 
+class Dealer:
+    """Prefixes of sets as packed rows, dealt by hash ranges of the shingles."""
+
+    def __init__(self, j: Join, level: np.ndarray, buckets: int):
+        self.j, self.level, self.buckets = j, level, buckets
+        self.held, self.n_held = [], 0
+
+    def add(self, s: np.ndarray, component: int, group: int) -> None:
+        j, n = self.j, len(s)
+        own = self.level[(s >> U(64 - j.sketch_bits)).astype(np.int64)]
+        part = (s[np.argsort(own, kind="stable")] if own.any() else s)[: int(j.prefix(n))]
+        rows = np.zeros(len(part), POSTING)
+        rows["token"], rows["component"], rows["group"], rows["least"], rows["most"], rows["place"] = part, component, group, n, n, np.arange(len(part))
+        self.held.append(rows)
+        self.n_held += len(rows)
+
+    def full(self) -> bool:
+        return self.n_held > 1 << 19
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.held:
+            return
+        rows = np.concatenate(self.held)
+        bucket = (textkernel.mix(rows["token"]) % U(self.buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        rows, bucket = rows[order], bucket[order]
+        names, at = np.unique(bucket, return_index=True)
+        ends = np.append(at[1:], len(rows))
+        for lo in range(0, len(names), 64):
+            part = range(lo, min(lo + 64, len(names)))
+            yield pa.RecordBatch.from_arrays([pa.array(names[lo : lo + 64].astype(np.int32)), pa.array([rows[at[i] : ends[i]].tobytes() for i in part], pa.binary())], ["bucket", "rows"])
+        self.held, self.n_held = [], 0
+
+
+def is_marked(bits: np.ndarray, number: np.ndarray) -> np.ndarray:
+    place = (number & np.int64((1 << 63) - 1)) % (8 * len(bits))
+    return (bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def postings(documents: DataFrame, j: Join, level, marks, buckets: int) -> DataFrame:
+    """bucket, rows (POSTING) of all classes whose key isn't marked; each is a component and a group of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, dealer = set(), Dealer(j, level.value, buckets)
         for batch in batches:
             for _, s in each_set(batch, j.words):
                 if not len(s):
@@ -260,26 +332,32 @@ def postings(documents: DataFrame, j: Join, level, groups, buckets: int) -> Data
                 if key in seen:
                     continue
                 seen.add(key)
-                n = len(s)
-                own = level.value[(s >> U(64 - j.sketch_bits)).astype(np.int64)]
-                if own.any():
-                    s_ordered = s[np.argsort(own, kind="stable")]
-                else:
-                    s_ordered = s
-                part = s_ordered[: int(j.prefix(n))]
-                rows = np.zeros(len(part), POSTING)
-                low = int(signed(textkernel.mix(s ^ U(0x5851F42D4C957F2D)).min()))
-                rows["token"], rows["group"], rows["least"], rows["most"], rows["place"] = part, groups.value.of(low, key), n, n, np.arange(len(part))
-                held.append(rows)
-                n_held += len(rows)
-                if n_held > 1 << 19:
-                    yield from flush()
-        if held:
-            yield from flush()
+                own = short([key])
+                if is_marked(marks.value, own)[0]:
+                    continue
+                dealer.add(s, int(own[0]), int(own[0]))
+                if dealer.full():
+                    yield from dealer.flush()
+        yield from dealer.flush()
 
     return documents.select("text").mapInArrow(run, "bucket int, rows binary")
 
 
+def set_postings(sets: DataFrame, j: Join, level, buckets: int) -> DataFrame:
+    """The same of sets at hand: component, group, tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealer = Dealer(j, level.value, buckets)
+        for batch in batches:
+            for component, group, tokens in zip(*(batch.column(c).to_pylist() for c in ("component", "group", "tokens")), strict=True):
+                dealer.add(np.frombuffer(tokens, "<u8"), component, group)
+                if dealer.full():
+                    yield from dealer.flush()
+        yield from dealer.flush()
+
+    return sets.select("component", "group", "tokens").mapInArrow(run, "bucket int, rows binary")
+
+
 class PairCounts:
     """Common prefix shingles of pairs of groups, added up within a task."""
 
@@ -306,39 +384,66 @@ class PairCounts:
         return a[at], b[at], np.add.reduceat(n, at), np.minimum.reduceat(need, at)
 
 
-def meet(rows: np.ndarray, j: Join, found: PairCounts) -> None:
-    """Adds every pair of groups that share a shingle of these postings and may hold similar members."""
-    rows = rows[np.lexsort((rows["group"], rows["token"]))]
-    new = np.append(True, (rows["token"][1:] != rows["token"][:-1]) | (rows["group"][1:] != rows["group"][:-1]))
+def folded(rows: np.ndarray, *by: str) -> np.ndarray:
+    """One row for each run of equal `by`, with the least and greatest size and the first place."""
+    new = np.zeros(len(rows), bool)
+    new[:1] = True
+    for c in by:
+        new[1:] |= rows[c][1:] != rows[c][:-1]
     at = np.flatnonzero(new)
-    token, group = rows["token"][at], rows["group"][at]
-    least, most, place = (f.reduceat(rows[c], at).astype(np.int64) for f, c in ((np.minimum, "least"), (np.maximum, "most"), (np.minimum, "place")))
-    start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-    size = np.diff(np.append(start, len(token)))
+    out = rows[at].copy()
+    for c, f in (("least", np.minimum), ("most", np.maximum), ("place", np.minimum)):
+        out[c] = f.reduceat(rows[c], at)
+    return out
 
-    def pairs(x: np.ndarray, y: np.ndarray) -> None:
+
+def meet(rows: np.ndarray, j: Join, found: PairCounts) -> None:
+    """Adds every pair of groups of different components that share a shingle of these postings and may hold similar
+    members. Components meet first, and only those that may be similar group by group."""
+    if not len(rows):
+        return
+    groups = folded(rows[np.lexsort((rows["group"], rows["component"], rows["token"]))], "token", "component", "group")
+    whole = folded(groups, "token", "component")
+    first = np.flatnonzero(np.append(True, (groups["token"][1:] != groups["token"][:-1]) | (groups["component"][1:] != groups["component"][:-1])))
+    count = np.diff(np.append(first, len(groups)))  # groups of each row of whole
+    start = np.flatnonzero(np.append(True, whole["token"][1:] != whole["token"][:-1]))
+    size = np.diff(np.append(start, len(whole)))
+
+    def fits(of: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        least, most, place = (of[c].astype(np.int64) for c in ("least", "most", "place"))
         a = j.overlap(least[x], least[y])
         c = j.common(np.minimum(most[x], most[y]))
-        ok = (100 * most[x] >= j.percent * least[y]) & (100 * most[y] >= j.percent * least[x]) & (place[x] < most[x] - a + c) & (place[y] < most[y] - a + c)
+        return (100 * most[x] >= j.percent * least[y]) & (100 * most[y] >= j.percent * least[x]) & (place[x] < most[x] - a + c) & (place[y] < most[y] - a + c)
+
+    def pairs(x: np.ndarray, y: np.ndarray) -> None:
+        ok = fits(whole, x, y)
         x, y = x[ok], y[ok]
-        if len(x):
-            found.add(group[x], group[y], j.common(np.minimum(least[x], least[y])))
+        each = count[x] * count[y]
+        for lo, hi in common.slices(np.concatenate([[0], np.cumsum(each)]), 1 << 21):
+            n = each[lo:hi]
+            i = common.ragged(np.zeros(hi - lo, np.int64), n)
+            p, q = np.repeat(x[lo:hi], n), np.repeat(y[lo:hi], n)
+            p, q = first[p] + i // count[q], first[q] + i % count[q]
+            ok = fits(groups, p, q)
+            p, q = p[ok], q[ok]
+            if len(p):
+                found.add(groups["group"][p], groups["group"][q], j.common(np.minimum(groups["least"][p], groups["least"][q]).astype(np.int64)))
 
     for m in np.unique(size[size > 1]).tolist():
-        first = start[size == m]
+        begin = start[size == m]
         if m <= 64:
             left, right = np.triu_indices(m, 1)
             step = max(1, (1 << 20) // len(left))
-            for i in range(0, len(first), step):
-                f = first[i : i + step, None]
+            for i in range(0, len(begin), step):
+                f = begin[i : i + step, None]
                 pairs((f + left).ravel(), (f + right).ravel())
         else:  # by size, so that each member meets only those that are large enough, block by block
-            for f in first.tolist():
-                order = f + np.argsort(least[f : f + m], kind="stable")
-                floor = np.minimum.accumulate(least[order][::-1])[::-1]
+            for f in begin.tolist():
+                order = f + np.argsort(whole["least"][f : f + m], kind="stable")
+                floor = np.minimum.accumulate(whole["least"][order][::-1])[::-1]
                 for i in range(0, m, 256):
                     mine = order[i : i + 256]
-                    end = int(np.searchsorted(floor, 100 * most[mine].max() // j.percent, "right"))
+                    end = int(np.searchsorted(floor, 100 * int(whole["most"][mine].max()) // j.percent, "right"))
                     for lo in range(i, max(end, i + 1), 4096):
                         other = np.arange(lo, min(lo + 4096, max(end, i + 1)))
                         x, y = np.meshgrid(np.arange(i, i + len(mine)), other, indexing="ij")
@@ -363,9 +468,10 @@ def group_pairs(packed: DataFrame, j: Join, buckets: int) -> DataFrame:
     return counted.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need")).filter("n >= need").select("a", "b")
 
 
-# ---- 3: matrices
+# ---- 4: matrices
 
-MATRIX = "group long, keys binary, sizes binary, tokens binary, bits binary"
+MATRIX = "group long, names binary, sizes binary, tokens binary, bits binary"
+NAME = 25  # bytes
 LINK = "a binary, b binary"
 
 
@@ -388,33 +494,33 @@ def link_batch(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
 
 
 def matrices(candidates: DataFrame, j: Join) -> DataFrame:
-    """Rows of MATRIX from rows (group, key, tokens) of one class each; group by group in streams sorted by group."""
+    """Rows of MATRIX from rows (group, name, tokens) of one class each; group by group in streams sorted by group."""
 
     def build(group: int, members: dict[bytes, np.ndarray]) -> pa.RecordBatch:
-        keys = sorted(members)
-        every = np.concatenate([members[k] for k in keys])
-        owner = np.repeat(np.arange(len(keys)), [len(members[k]) for k in keys])
+        names = sorted(members)
+        every = np.concatenate([members[k] for k in names])
+        owner = np.repeat(np.arange(len(names)), [len(members[k]) for k in names])
         tokens, inverse = np.unique(every, return_inverse=True)
-        bits = np.zeros((len(tokens), (len(keys) + 7) // 8), np.uint8)
+        bits = np.zeros((len(tokens), (len(names) + 7) // 8), np.uint8)
         np.bitwise_or.at(bits, (inverse, owner // 8), (128 >> (owner % 8)).astype(np.uint8))
-        sizes = np.array([len(members[k]) for k in keys], "<u4")
-        cells = [group, b"".join(keys), sizes.tobytes(), tokens.astype("<u8").tobytes(), bits.tobytes()]
-        return pa.RecordBatch.from_arrays([pa.array([c], pa.int64() if i == 0 else pa.binary()) for i, c in enumerate(cells)], ["group", "keys", "sizes", "tokens", "bits"])
+        sizes = np.array([len(members[k]) for k in names], "<u4")
+        cells = [group, b"".join(names), sizes.tobytes(), tokens.astype("<u8").tobytes(), bits.tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array([c], pa.int64() if i == 0 else pa.binary()) for i, c in enumerate(cells)], ["group", "names", "sizes", "tokens", "bits"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, members = None, {}
         for batch in batches:
-            for group, key, tokens in zip(*(batch.column(c).to_pylist() for c in ("group", "key", "tokens")), strict=True):
+            for group, name, tokens in zip(*(batch.column(c).to_pylist() for c in ("group", "name", "tokens")), strict=True):
                 if group != now and members:
                     yield build(now, members)
                     members = {}
                 now = group
-                members[key] = np.frombuffer(tokens, "<u8")
+                members[name] = np.frombuffer(tokens, "<u8")
         if members:
             yield build(now, members)
 
     n = common.partitions(candidates.sparkSession)
-    return candidates.repartition(n, "group").sortWithinPartitions("group").select("group", "key", "tokens").mapInArrow(run, MATRIX)
+    return candidates.repartition(n, "group").sortWithinPartitions("group").select("group", "name", "tokens").mapInArrow(run, MATRIX)
 
 
 def similar(inter: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -432,7 +538,7 @@ def links_within(groups: DataFrame, j: Join) -> DataFrame:
                 rows = bit_rows(row["bits"], m)
                 ok = similar(overlaps(rows, rows, m, m), sizes, sizes, j.percent)
                 forest = Forest(m)
-                out = [(row["keys"][16 * x : 16 * x + 16], row["keys"][16 * y : 16 * y + 16]) for x, y in np.argwhere(np.triu(ok, 1)).tolist() if forest.join(x, y)]
+                out = [(row["names"][NAME * x : NAME * x + NAME], row["names"][NAME * y : NAME * y + NAME]) for x, y in np.argwhere(np.triu(ok, 1)).tolist() if forest.join(x, y)]
                 if out:
                     yield link_batch(out)
 
@@ -457,27 +563,49 @@ def links_between(pairs: DataFrame, groups: DataFrame, j: Join) -> DataFrame:
                 forest, out = Forest(len(n) + len(m)), []
                 for a, b in np.argwhere(ok).tolist():
                     if forest.join(a, len(n) + b):
-                        out.append((r["keys"][16 * a : 16 * a + 16], r["keys2"][16 * b : 16 * b + 16]))
+                        out.append((r["names"][NAME * a : NAME * a + NAME], r["names2"][NAME * b : NAME * b + NAME]))
                 if out:
                     yield link_batch(out)
 
     left = pairs.join(groups.withColumnRenamed("group", "a"), "a")
-    both = left.join(groups.select(F.col("group").alias("b"), *(F.col(c).alias(f"{c}2") for c in ("keys", "sizes", "tokens", "bits"))), "b")
-    return both.select("keys", "sizes", "tokens", "bits", "keys2", "sizes2", "tokens2", "bits2").mapInArrow(run, LINK)
+    both = left.join(groups.select(F.col("group").alias("b"), *(F.col(c).alias(f"{c}2") for c in ("names", "sizes", "tokens", "bits"))), "b")
+    return both.select("names", "sizes", "tokens", "bits", "names2", "sizes2", "tokens2", "bits2").mapInArrow(run, LINK)
 
 
-def set_rows(documents: DataFrame, j: Join, wanted, size: int) -> DataFrame:
-    """doc_id, key, tokens of documents whose id passes the bit filter."""
+def set_rows(documents: DataFrame, classes: DataFrame, j: Join) -> DataFrame:
+    """name, tokens of these classes (key, doc_id, name), each from the text of its smallest doc_id. A bit filter keeps
+    the other texts out; a task sends on a class once."""
+    size = 1 << min(j.filter_bits, max(20, int(16 * max(1, classes.count())).bit_length()))
+    wanted = documents.sparkSession.sparkContext.broadcast(bit_filter(classes, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int | None, bytes]] = set()
         for batch in batches:
-            place = (np.asarray(batch.column("place")) % size).astype(np.int64)
-            batch = batch.filter(pa.array((wanted.value[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)))
-            found = [(i, s) for i, s in each_set(batch, j.words) if len(s)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array([i for i, _ in found], pa.int64())), pa.array([class_key(s) for _, s in found], pa.binary()), pa.array([s.tobytes() for _, s in found], pa.binary())], ["doc_id", "key", "tokens"])
+            batch = batch.filter(pa.array(is_marked(wanted.value, np.asarray(batch.column("place")))))
+            ids, keys, tokens = batch.column("doc_id").to_pylist(), [], []
+            rows = []
+            for i, s in each_set(batch, j.words):
+                key = class_key(s)
+                if len(s) and (ids[i], key) not in seen:
+                    seen.add((ids[i], key))
+                    rows.append(ids[i])
+                    keys.append(key)
+                    tokens.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(keys, pa.binary()), pa.array(tokens, pa.binary())], ["doc_id", "key", "tokens"])
 
-    hashed = documents.select("doc_id", "text", (F.xxhash64("doc_id").bitwiseAND(0x7FFFFFFFFFFFFFFF)).alias("place"))
-    return hashed.mapInArrow(run, "doc_id long, key binary, tokens binary")
+    hashed = documents.select("doc_id", "text", F.xxhash64("doc_id").bitwiseAND(0x7FFFFFFFFFFFFFFF).alias("place"))
+    found = hashed.mapInArrow(run, "doc_id long, key binary, tokens binary").withColumn("name", named(F.col("doc_id"), F.col("key")))
+    return found.select("name", "tokens").join(classes.select("name"), "name", "left_semi").dropDuplicates(["name"])
+
+
+def marked_classes(classes: DataFrame, marks) -> DataFrame:
+    """Those whose key is marked, by chance or on purpose."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(is_marked(marks.value, np.asarray(batch.column("number")))))
+
+    return classes.mapInArrow(run, classes.schema)
 
 
 def linked(documents: DataFrame, j: Join = Join()) -> DataFrame:
@@ -485,37 +613,60 @@ def linked(documents: DataFrame, j: Join = Join()) -> DataFrame:
     spark = documents.sparkSession
     work = common.Workspace(spark, "jaccard")
     described = work.keep(describe(documents, j), "described")
-    docs = described.filter("part is null").select("doc_id", "n_shingles", "key", "minhash")
+    docs = described.filter("part is null").select("doc_id", "n_shingles", "key", "minhashes")
     sketch = add_counts(described.filter("part is not null").select("part", "counts"), 1 << j.sketch_bits)
     level = spark.sparkContext.broadcast(levels(sketch))
-    classes = work.keep(docs.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("minhash").alias("minhash")), "classes")
-    total = classes.count()
-    frequent = classes.groupBy("minhash").agg(F.count("*").alias("n")).filter(F.col("n") > max(j.members, total // j.split_keys))
-    splits = {r.minhash: -(-r.n // j.members) for r in frequent.collect()}  # fewer than split_keys rows, by the filter
-    groups = spark.sparkContext.broadcast(Groups(splits))
-    buckets = max(1, common.partitions(spark) // 2)  # fewer buckets, fewer partial counts of a pair
-    pairs = work.keep(group_pairs(postings(documents, j, level, groups, buckets), j, buckets), "pairs")
-
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [groups.value.of(m, k) for m, k in zip(batch.column("minhash").to_pylist(), batch.column("key").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), pa.array(own, pa.int64())], ["key", "doc_id", "group"])
-
-    grouped = work.keep(classes.select("key", "doc_id", "minhash").mapInArrow(name, "key binary, doc_id long, group long"), "grouped")
-    shared = grouped.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1").select("group")
-    open_ = pairs.select(F.col("a").alias("group")).unionByName(pairs.select(F.col("b").alias("group"))).unionByName(shared).distinct()
-    chosen = work.keep(grouped.join(open_, "group", "left_semi"), "chosen")
+    classes = docs.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("minhashes").alias("minhashes"), F.count("*").alias("copies"))
+    number = F.conv(F.hex(F.reverse(F.substring("key", 1, 8))), 16, -10).cast("long")  # as short() has it
+    classes = work.keep(classes.withColumn("name", named(F.col("doc_id"), F.col("key"))).withColumn("number", number), "classes")
+
+    def by_hash(rows: DataFrame, first: int, last: int) -> DataFrame:
+        each = F.posexplode(F.slice("minhashes", first + 1, last - first))
+        return rows.select("name", "component", each.alias("h", "m")).withColumn("h", F.col("h") + first)
+
+    # 2: first components
+    alone = classes.withColumn("component", F.col("name"))
+    every = by_hash(alone, 0, j.hashes)
+    often = every.groupBy("h", "m").agg(F.count("*").alias("n")).filter("n > 1")
+    near = common.attach(every, often.withColumn("weight", F.col("n")), ["h", "m"], "weight", every.count(), "inner").select("name").distinct()
+    chosen = work.keep(classes.select("name", "number").join(near, "name", "left_semi"), "chosen")
     size = 1 << min(j.filter_bits, max(20, int(16 * max(1, chosen.count())).bit_length()))
-    wanted = spark.sparkContext.broadcast(bit_filter(chosen, size))
-    rows = set_rows(documents, j, wanted, size).join(chosen.select("key", "doc_id", "group"), ["key", "doc_id"]).select("group", "key", "tokens")
-    built = work.keep(matrices(rows, j), "matrices")
-    links = work.keep(links_within(built, j).unionByName(links_between(pairs, built, j)), "links")
-    roots = components(links, work)
-    named = grouped.select("key", "doc_id").join(roots.withColumnRenamed("vertex", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    result = work.keep(named.join(smallest, "root").select("key", "component_id"), "named")
-    work.drop("pairs", "matrices", "links", "chosen", "grouped", "classes")
-    return docs.select("doc_id", "n_shingles", "key").join(result, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    marks = spark.sparkContext.broadcast(bit_filter(chosen, size, F.col("number").bitwiseAND(0x7FFFFFFFFFFFFFFF)))
+    marked_ = work.keep(marked_classes(classes.select("key", "doc_id", "name", "number", "minhashes"), marks), "marked")
+    sets = work.keep(set_rows(documents, marked_, j), "sets")
+    links = first_links(*shared_groups(by_hash(marked_.withColumn("component", F.col("name")), 0, 1).select("h", "m", "name", F.lit(1).cast("long").alias("size")), j, work, "groups0"), sets, j)
+    roots = work.keep(components(work.keep(links, "links0"), work, "components0"), "roots0")
+    if j.hashes > 1:
+        rooted = marked_.join(roots.withColumnRenamed("vertex", "name"), "name", "left").withColumn("component", F.coalesce("root", "name"))
+        one_each = by_hash(rooted, 1, j.hashes).groupBy("h", "m", "component").agg(F.min("name").alias("name"), F.count("*").alias("size"))
+        links = first_links(*shared_groups(one_each.select("h", "m", "name", "size"), j, work, "groups1"), sets, j)
+        links = roots.select(F.col("vertex").alias("a"), F.col("root").alias("b")).unionByName(links)
+        roots = work.keep(components(work.keep(links, "links1"), work, "components1"), "roots1")
+
+    # 3: pairs of groups of different components
+    sizes = roots.groupBy("root").agg(F.count("*").alias("n")).withColumn("weight", F.col("n"))
+    split = common.attach(roots, sizes, ["root"], "weight", roots.count(), "inner")
+    chunk = F.pmod(F.xxhash64("vertex"), F.ceil(F.col("n") / j.members).cast("long"))
+    split = split.select(F.col("vertex").alias("name"), F.xxhash64("root").alias("component"), F.xxhash64("root", chunk).alias("group"))
+    grouped = classes.select("name", "key", "doc_id", "number").join(split, "name", "left")
+    grouped = work.keep(grouped.select("name", "key", "doc_id", F.coalesce("component", "number").alias("component"), F.coalesce("group", "number").alias("group")), "grouped")
+    buckets = common.partitions(spark)
+    dealt = postings(documents, j, level, marks, buckets).unionByName(set_postings(sets.join(grouped, "name"), j, level, buckets))
+    pairs = work.keep(group_pairs(dealt, j, buckets), "pairs")
+
+    # 4: matrices
+    open_ = pairs.select(F.col("a").alias("group")).unionByName(pairs.select(F.col("b").alias("group"))).distinct()
+    opened = work.keep(grouped.join(open_, "group", "left_semi").select("name", "key", "doc_id", "group"), "opened")
+    built = work.keep(matrices(set_rows(documents, opened, j).join(opened.select("name", "group"), "name"), j), "matrices")
+    links = roots.select(F.col("vertex").alias("a"), F.col("root").alias("b")).unionByName(links_between(pairs, built, j))
+    roots = components(work.keep(links, "links"), work)
+    found = classes.select("key", "name", "copies").join(roots.withColumnRenamed("vertex", "name"), "name", "left").select("key", "copies", smallest_id(F.coalesce("root", "name")).alias("component_id"))
+    found = work.keep(found, "found")
+    n = docs.count()
+    work.drop("pairs", "matrices", "links", "links0", "links1", "roots0", "roots1", "opened", "grouped", "classes", "chosen", "marked", "sets", *(f"groups{i}-{k}" for i in (0, 1) for k in ("rows", "sizes")))
+    with_words = common.attach(docs.filter("key is not null").select("doc_id", "n_shingles", "key"), found, ["key"], "copies", n, "inner")
+    without = docs.filter("key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return with_words.select("doc_id", "n_shingles", "component_id").unionByName(without)
 
 
 def bit_filter(ids: DataFrame, size: int, place=None) -> np.ndarray:

@@ -73,7 +73,7 @@ def test_long_postings_lose_nothing():
     """Runs of one shingle in over 64 groups meet block by block."""
     j = jaccard_join.Join()
     rows = np.zeros(300, jaccard_join.POSTING)
-    rows["token"], rows["group"] = 7, np.arange(300)
+    rows["token"], rows["group"], rows["component"] = 7, np.arange(300), np.arange(300)
     rows["least"] = rows["most"] = 10 + np.arange(300) // 3
     found = jaccard_join.PairCounts()
     jaccard_join.meet(rows, j, found)
@@ -83,6 +83,36 @@ def test_long_postings_lose_nothing():
     assert (n == 1).all()
 
 
+def test_groups_of_one_component_do_not_meet():
+    """A shingle in 500 groups of one component and in three others: three times 500 pairs and those of the three."""
+    rows = np.zeros(503, jaccard_join.POSTING)
+    rows["token"], rows["group"], rows["component"] = 7, np.arange(503), np.maximum(np.arange(503), 499)
+    rows["least"] = rows["most"] = 40
+    found = jaccard_join.PairCounts()
+    jaccard_join.meet(rows, jaccard_join.Join(), found)
+    a, b, _, _ = found.settled()
+    assert set(zip(a.tolist(), b.tolist(), strict=True)) == {(x, y) for y in (500, 501, 502) for x in range(y)}
+
+
+def test_one_cluster_of_near_copies(frame, monkeypatch):
+    """Far more near copies than a group holds: one component, and hardly a pair of groups is opened."""
+    base, opened = prose(1, 120), []
+    plain_pairs = jaccard_join.group_pairs
+    monkeypatch.setattr(jaccard_join, "group_pairs", lambda *a: opened.append(plain_pairs(*a).cache()) or opened[0])
+    texts = [edited(base, 1 + i % 2, i) for i in range(400)] + [edited(base, 60, i) for i in range(20)]
+    got = {tuple(r) for r in jaccard_join.linked(frame(texts), jaccard_join.Join(members=8)).collect()}
+    assert got == set(plain(texts, range(len(texts)), 5, 80))
+    assert opened[0].count() < 100
+
+
+def test_words_of_two_letters_keep_apart(frame):
+    one = "a"
+    for _ in range(10):
+        one += one.translate({97: 98, 98: 97})
+    other = one.translate({97: 98, 98: 97})
+    assert [r.component_id for r in jaccard_join.linked(frame([one, other, one], first=1)).orderBy("doc_id").collect()] == [1, 2, 1]
+
+
 @pytest.mark.parametrize("at_once", [0, 1000])
 def test_components(spark, at_once):
     r = random.Random(2)
