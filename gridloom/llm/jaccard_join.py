@@ -7,8 +7,9 @@ union of its sets, with a bit for each member.
 1. One pass gives each document its class, `hashes` min-hashes and set size, and a count sketch of shingle frequencies (fixed size).
 2. Classes that share a min-hash form groups; a frequent min-hash makes many groups, and a few of its classes (leaders)
    stand in all of them. Every overlap within a group is counted in its matrix, and links make first components: the
-   first min-hash over all classes, then the others over one class of each component. However many near copies there
-   are, this work is linear in them, and leaves them in one component or few.
+   first min-hash over all classes, then the others over one class of each component, the one with the most links (an
+   original among its edited copies). However many near copies there are, this work is linear in them, and leaves them
+   in one component or few.
 3. A second pass orders each set by (frequency level, hash) and sends on a prefix: two sets of similarity t share at
    least c shingles in the first n - a + c of each, where a is the overlap they need and c is 5 % of the smaller set.
    Groups now hold classes of one component. Shingles meet by hash ranges; those of two groups of different components
@@ -111,7 +112,7 @@ def minhashes(s: np.ndarray, j: Join) -> list[int]:
 
 def short(keys: list[bytes]) -> np.ndarray:
     """The number of a class outside first components: the first 8 bytes of its key."""
-    return np.frombuffer(b"".join(k[:8] for k in keys), "<i8")
+    return np.frombuffer(b"".join(k[:8] for k in keys), ">i8").astype(np.int64)
 
 
 def named(doc_id, key):
@@ -255,7 +256,7 @@ def levels(counts: np.ndarray) -> np.ndarray:
 
 
 def shared_groups(rows: DataFrame, j: Join, work: common.Workspace, name: str) -> tuple[DataFrame, DataFrame]:
-    """rows: h, m (function and min-hash), name, size, unique in (h, m, name). Returns members (name, group) of min-hashes that two
+    """rows: h, m (function and min-hash), name, size and degree (those with the greatest lead), unique in (h, m, name). Returns members (name, group) of min-hashes that two
     rows or more share, and the leaders (name, groups: all groups of their min-hash) of those with more than `members`."""
     rows = work.keep(rows, f"{name}-rows")
     sizes = work.keep(rows.groupBy("h", "m").agg(F.count("*").alias("n")).filter("n > 1"), f"{name}-sizes")
@@ -263,13 +264,14 @@ def shared_groups(rows: DataFrame, j: Join, work: common.Workspace, name: str) -
     group = lambda chunk: F.xxhash64(F.col("h"), F.col("m"), chunk)
     sized = common.attach(rows, sizes.withColumn("weight", F.col("n")), ["h", "m"], "weight", rows.count(), "inner")
     members = sized.select("name", group(F.pmod(F.xxhash64("name"), chunks)).alias("group"))
-    few = rows.groupBy("h", "m", F.pmod(F.xxhash64("name", F.lit(1)), F.lit(j.leaders)).alias("b")).agg(F.max(F.struct("size", "name")).alias("best"))
+    few = rows.groupBy("h", "m", F.pmod(F.xxhash64("name", F.lit(1)), F.lit(j.leaders)).alias("b")).agg(F.max(F.struct("size", "degree", "name")).alias("best"))
     leaders = few.join(sizes.filter(F.col("n") > j.members), ["h", "m"]).select(F.col("best.name").alias("name"), F.transform(F.sequence(F.lit(0).cast("long"), chunks - 1), group).alias("groups"))
     return members, leaders
 
 
 def first_links(members: DataFrame, leaders: DataFrame, sets: DataFrame, j: Join) -> DataFrame:
-    """Links within groups; sets: name, tokens. A leader's set is copied to its groups after the join by name."""
+    """Links within groups, and each linked class's degree in a group (a, b null, n); sets: name, tokens. A leader's set is
+    copied to its groups after the join by name."""
     own = members.join(sets, "name").select("group", "name", "tokens")
     more = leaders.join(sets, "name").select(F.explode("groups").alias("group"), "name", "tokens")
     return links_within(matrices(own.unionByName(more), j), j)
@@ -528,6 +530,8 @@ def similar(inter: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np
 
 
 def links_within(groups: DataFrame, j: Join) -> DataFrame:
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("n", pa.int32())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -537,12 +541,13 @@ def links_within(groups: DataFrame, j: Join) -> DataFrame:
                     continue
                 rows = bit_rows(row["bits"], m)
                 ok = similar(overlaps(rows, rows, m, m), sizes, sizes, j.percent)
-                forest = Forest(m)
-                out = [(row["names"][NAME * x : NAME * x + NAME], row["names"][NAME * y : NAME * y + NAME]) for x, y in np.argwhere(np.triu(ok, 1)).tolist() if forest.join(x, y)]
+                forest, names = Forest(m), [row["names"][NAME * x : NAME * x + NAME] for x in range(m)]
+                out = [(names[x], names[y], None) for x, y in np.argwhere(np.triu(ok, 1)).tolist() if forest.join(x, y)]
+                out += [(names[x], None, d) for x, d in enumerate((ok.sum(1) - 1).tolist()) if d > 0]
                 if out:
-                    yield link_batch(out)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
-    return groups.mapInArrow(run, LINK)
+    return groups.mapInArrow(run, f"{LINK}, n int")
 
 
 def links_between(pairs: DataFrame, groups: DataFrame, j: Join) -> DataFrame:
@@ -617,7 +622,7 @@ def linked(documents: DataFrame, j: Join = Join()) -> DataFrame:
     sketch = add_counts(described.filter("part is not null").select("part", "counts"), 1 << j.sketch_bits)
     level = spark.sparkContext.broadcast(levels(sketch))
     classes = docs.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("minhashes").alias("minhashes"), F.count("*").alias("copies"))
-    number = F.conv(F.hex(F.reverse(F.substring("key", 1, 8))), 16, -10).cast("long")  # as short() has it
+    number = F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long")  # as short() has it
     classes = work.keep(classes.withColumn("name", named(F.col("doc_id"), F.col("key"))).withColumn("number", number), "classes")
 
     def by_hash(rows: DataFrame, first: int, last: int) -> DataFrame:
@@ -634,13 +639,16 @@ def linked(documents: DataFrame, j: Join = Join()) -> DataFrame:
     marks = spark.sparkContext.broadcast(bit_filter(chosen, size, F.col("number").bitwiseAND(0x7FFFFFFFFFFFFFFF)))
     marked_ = work.keep(marked_classes(classes.select("key", "doc_id", "name", "number", "minhashes"), marks), "marked")
     sets = work.keep(set_rows(documents, marked_, j), "sets")
-    links = first_links(*shared_groups(by_hash(marked_.withColumn("component", F.col("name")), 0, 1).select("h", "m", "name", F.lit(1).cast("long").alias("size")), j, work, "groups0"), sets, j)
-    roots = work.keep(components(work.keep(links, "links0"), work, "components0"), "roots0")
+    links = first_links(*shared_groups(by_hash(marked_.withColumn("component", F.col("name")), 0, 1).select("h", "m", "name", F.lit(1).cast("long").alias("size"), F.lit(0).alias("degree")), j, work, "groups0"), sets, j)
+    links = work.keep(links, "links0")
+    roots = work.keep(components(links.filter("b is not null"), work, "components0"), "roots0")
     if j.hashes > 1:
-        rooted = marked_.join(roots.withColumnRenamed("vertex", "name"), "name", "left").withColumn("component", F.coalesce("root", "name"))
-        one_each = by_hash(rooted, 1, j.hashes).groupBy("h", "m", "component").agg(F.min("name").alias("name"), F.count("*").alias("size"))
-        links = first_links(*shared_groups(one_each.select("h", "m", "name", "size"), j, work, "groups1"), sets, j)
-        links = roots.select(F.col("vertex").alias("a"), F.col("root").alias("b")).unionByName(links)
+        degrees = links.filter("b is null").groupBy(F.col("a").alias("name")).agg(F.max("n").alias("degree"))
+        rooted = marked_.join(roots.withColumnRenamed("vertex", "name"), "name", "left").join(degrees, "name", "left").withColumn("component", F.coalesce("root", "name"))
+        own = F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "name")
+        one_each = by_hash(rooted.withColumn("name", own), 1, j.hashes).groupBy("h", "m", "component").agg(F.max("name").alias("best"), F.count("*").alias("size"))
+        links = first_links(*shared_groups(one_each.select("h", "m", "best.name", "size", "best.degree"), j, work, "groups1"), sets, j)
+        links = roots.select(F.col("vertex").alias("a"), F.col("root").alias("b")).unionByName(links.filter("b is not null").drop("n"))
         roots = work.keep(components(work.keep(links, "links1"), work, "components1"), "roots1")
 
     # 3: pairs of groups of different components

@@ -99,8 +99,8 @@ def test_one_cluster_of_near_copies(frame, monkeypatch):
     base, opened = prose(1, 120), []
     plain_pairs = jaccard_join.group_pairs
     monkeypatch.setattr(jaccard_join, "group_pairs", lambda *a: opened.append(plain_pairs(*a).cache()) or opened[0])
-    texts = [edited(base, 1 + i % 2, i) for i in range(400)] + [edited(base, 60, i) for i in range(20)]
-    got = {tuple(r) for r in jaccard_join.linked(frame(texts), jaccard_join.Join(members=8)).collect()}
+    texts = [edited(base, 1 + i % 2, i) for i in range(400)] + [edited(base, 60, i) for i in range(20)] + [base]
+    got = {tuple(r) for r in jaccard_join.linked(frame(texts), jaccard_join.Join(members=32)).collect()}
     assert got == set(plain(texts, range(len(texts)), 5, 80))
     assert opened[0].count() < 100
 
