@@ -7,14 +7,14 @@ union of its sets, with a bit for each member.
 1. One pass gives each document its class, `hashes` min-hashes and set size, and a count sketch of shingle frequencies (fixed size).
 2. Classes that share a min-hash form groups; a frequent min-hash makes many groups, and a few of its classes (leaders)
    stand in all of them. Every overlap within a group is counted in its matrix, and links make first components: the
-   first min-hash over all classes, then the others over one class of each component, the one with the most links (an
-   original among its edited copies). However many near copies there are, this work is linear in them, and leaves them
+   first min-hash over all classes that share one, then frequent values of the others over one class of each component,
+   the one with the most links (an original among its edited copies). However many near copies there are, this work is linear in them, and leaves them
    in one component or few.
 3. A second pass orders each set by (frequency level, hash) and sends on a prefix: two sets of similarity t share at
-   least c shingles in the first n - a + c of each, where a is the overlap they need and c is 5 % of the smaller set.
-   Groups now hold classes of one component. Shingles meet by hash ranges; those of two groups of different components
-   count for the pair, if sizes and positions in the prefixes allow the similarity. Pairs of groups with too few common
-   prefix shingles are closed, as are those of one component.
+   least one shingle in the first n - a + 1 of each, where a is the overlap they need. Groups now hold classes of one
+   component. Shingles meet by hash ranges; two groups of different components that share one are a pair, if sizes and
+   places in the prefixes allow the similarity. The prefix is no longer than that: in a longer one, texts that have most
+   of a template in common, but too little to link, would all meet in the template's shingles.
 4. A third pass builds the matrices of groups that are left, from texts that a bit filter lets through, and joins them:
    a member stays in play while its overlap with the other group's union reaches t times its size; for those that
    stay, one product of bit matrices gives every overlap exactly. Each pair of groups sends on a spanning forest of
@@ -54,17 +54,14 @@ class Join:
     words: int = 5
     percent: int = 80
     members: int = 96
-    extra: int = 20  # c is a set's size divided by this
     hashes: int = 4
+    often: int = 24  # components that share a value of the other min-hashes, for it to be used
     leaders: int = 8  # classes that stand in each group of a frequent min-hash
     sketch_bits: int = 22
     filter_bits: int = 28
 
     def prefix(self, n):
-        return n - (self.percent * n + 99) // 100 + self.common(n)
-
-    def common(self, n):
-        return np.maximum(1, n // self.extra)
+        return n - (self.percent * n + 99) // 100 + 1
 
     def overlap(self, n, m):
         """Shingles that sets of these sizes must share."""
@@ -102,12 +99,12 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.astype(U).view(np.int64)
 
 
-#: Keys of the min-hash functions: fixed arbitrary odd numbers.
-SEEDS = (0x5851F42D4C957F2D, 0x9AE16A3B2F90404F, 0xC3A5C85C97CB3127, 0xB492B66FBE98F273)
+#: Factors of the min-hash functions beyond the first, which takes the shingle's hash as it is: fixed arbitrary odd numbers.
+FACTORS = (0x9AE16A3B2F90404F, 0xC3A5C85C97CB3127, 0xB492B66FBE98F273)
 
 
 def minhashes(s: np.ndarray, j: Join) -> list[int]:
-    return [int(signed(textkernel.mix(s ^ U(seed))).min()) for seed in SEEDS[: j.hashes]]
+    return signed(np.array([s[0], *((s * U(f)).min() for f in FACTORS[: j.hashes - 1])])).tolist()
 
 
 def short(keys: list[bytes]) -> np.ndarray:
@@ -255,11 +252,11 @@ def levels(counts: np.ndarray) -> np.ndarray:
 # ---- 2: first components
 
 
-def shared_groups(rows: DataFrame, j: Join, work: common.Workspace, name: str) -> tuple[DataFrame, DataFrame]:
-    """rows: h, m (function and min-hash), name, size and degree (those with the greatest lead), unique in (h, m, name). Returns members (name, group) of min-hashes that two
+def shared_groups(rows: DataFrame, j: Join, work: common.Workspace, name: str, least: int = 2) -> tuple[DataFrame, DataFrame]:
+    """rows: h, m (function and min-hash), name, size and degree (those with the greatest lead), unique in (h, m, name). Returns members (name, group) of min-hashes that `least`
     rows or more share, and the leaders (name, groups: all groups of their min-hash) of those with more than `members`."""
     rows = work.keep(rows, f"{name}-rows")
-    sizes = work.keep(rows.groupBy("h", "m").agg(F.count("*").alias("n")).filter("n > 1"), f"{name}-sizes")
+    sizes = work.keep(rows.groupBy("h", "m").agg(F.count("*").alias("n")).filter(F.col("n") >= least), f"{name}-sizes")
     chunks = F.ceil(F.col("n") / j.members).cast("long")
     group = lambda chunk: F.xxhash64(F.col("h"), F.col("m"), chunk)
     sized = common.attach(rows, sizes.withColumn("weight", F.col("n")), ["h", "m"], "weight", rows.count(), "inner")
@@ -360,30 +357,27 @@ def set_postings(sets: DataFrame, j: Join, level, buckets: int) -> DataFrame:
     return sets.select("component", "group", "tokens").mapInArrow(run, "bucket int, rows binary")
 
 
-class PairCounts:
-    """Common prefix shingles of pairs of groups, added up within a task."""
+class Pairs:
+    """Pairs of groups, each once."""
 
-    MOST = 1 << 18
+    MOST = 1 << 20
 
     def __init__(self):
         self.parts, self.size = [], 0
 
-    def add(self, a: np.ndarray, b: np.ndarray, need: np.ndarray) -> None:
-        self.parts.append((np.minimum(a, b), np.maximum(a, b), np.ones(len(a), np.int64), need.astype(np.int64)))
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.parts.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
         self.size += len(a)
-        if self.size > 4 * self.MOST:
+        if self.size > self.MOST:
             self.parts = [self.settled()]
-            self.size = len(self.parts[0][0])
+            self.size = len(self.parts[0]) // 2  # what stays counts half, so that sorting stays rare
 
-    def settled(self) -> tuple[np.ndarray, ...]:
+    def settled(self) -> np.ndarray:
         if not self.parts:
-            return tuple(np.zeros(0, np.int64) for _ in range(4))
-        a, b, n, need = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        order = np.lexsort((b, a))
-        a, b, n, need = a[order], b[order], n[order], need[order]
-        new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-        at = np.flatnonzero(new)
-        return a[at], b[at], np.add.reduceat(n, at), np.minimum.reduceat(need, at)
+            return np.zeros((0, 2), np.int64)
+        pairs = np.concatenate(self.parts)
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        return pairs[np.append(True, (pairs[1:] != pairs[:-1]).any(1))]
 
 
 def folded(rows: np.ndarray, *by: str) -> np.ndarray:
@@ -399,7 +393,7 @@ def folded(rows: np.ndarray, *by: str) -> np.ndarray:
     return out
 
 
-def meet(rows: np.ndarray, j: Join, found: PairCounts) -> None:
+def meet(rows: np.ndarray, j: Join, found: Pairs) -> None:
     """Adds every pair of groups of different components that share a shingle of these postings and may hold similar
     members. Components meet first, and only those that may be similar group by group."""
     if not len(rows):
@@ -414,8 +408,7 @@ def meet(rows: np.ndarray, j: Join, found: PairCounts) -> None:
     def fits(of: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         least, most, place = (of[c].astype(np.int64) for c in ("least", "most", "place"))
         a = j.overlap(least[x], least[y])
-        c = j.common(np.minimum(most[x], most[y]))
-        return (100 * most[x] >= j.percent * least[y]) & (100 * most[y] >= j.percent * least[x]) & (place[x] < most[x] - a + c) & (place[y] < most[y] - a + c)
+        return (100 * most[x] >= j.percent * least[y]) & (100 * most[y] >= j.percent * least[x]) & (place[x] <= most[x] - a) & (place[y] <= most[y] - a)
 
     def pairs(x: np.ndarray, y: np.ndarray) -> None:
         ok = fits(whole, x, y)
@@ -429,7 +422,7 @@ def meet(rows: np.ndarray, j: Join, found: PairCounts) -> None:
             ok = fits(groups, p, q)
             p, q = p[ok], q[ok]
             if len(p):
-                found.add(groups["group"][p], groups["group"][q], j.common(np.minimum(groups["least"][p], groups["least"][q]).astype(np.int64)))
+                found.add(groups["group"][p], groups["group"][q])
 
     for m in np.unique(size[size > 1]).tolist():
         begin = start[size == m]
@@ -454,20 +447,17 @@ def meet(rows: np.ndarray, j: Join, found: PairCounts) -> None:
 
 
 def group_pairs(packed: DataFrame, j: Join, buckets: int) -> DataFrame:
-    """a, b: pairs of groups with enough common prefix shingles."""
+    """a, b: pairs of groups of different components that share a prefix shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = [b for batch in batches for b in batch.column("rows").to_pylist()]
-        found = PairCounts()
-        if blobs:
-            meet(np.frombuffer(b"".join(blobs), POSTING), j, found)
-        a, b, n, need = found.settled()
-        for lo in range(0, len(a), 1 << 16):
-            s = slice(lo, lo + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (a, b, n, need)], ["a", "b", "n", "need"])
+        found = Pairs()
+        meet(np.frombuffer(b"".join(blobs), POSTING), j, found)
+        pairs = found.settled()
+        for lo in range(0, len(pairs), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[lo : lo + (1 << 16), i]) for i in (0, 1)], ["a", "b"])
 
-    counted = packed.repartitionById(buckets, "bucket").mapInArrow(run, "a long, b long, n long, need long")
-    return counted.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need")).filter("n >= need").select("a", "b")
+    return packed.repartitionById(buckets, "bucket").mapInArrow(run, "a long, b long").distinct()
 
 
 # ---- 4: matrices
@@ -477,6 +467,13 @@ NAME = 25  # bytes
 LINK = "a binary, b binary"
 
 
+def each_row(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Row by row, as a batch of matrices is large."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 def bit_rows(bits: bytes, m: int) -> np.ndarray:
     return np.frombuffer(bits, np.uint8).reshape(-1, (m + 7) // 8)
 
@@ -533,44 +530,42 @@ def links_within(groups: DataFrame, j: Join) -> DataFrame:
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("n", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                sizes = np.frombuffer(row["sizes"], "<u4").astype(np.int64)
-                m = len(sizes)
-                if m < 2:
-                    continue
-                rows = bit_rows(row["bits"], m)
-                ok = similar(overlaps(rows, rows, m, m), sizes, sizes, j.percent)
-                forest, names = Forest(m), [row["names"][NAME * x : NAME * x + NAME] for x in range(m)]
-                out = [(names[x], names[y], None) for x, y in np.argwhere(np.triu(ok, 1)).tolist() if forest.join(x, y)]
-                out += [(names[x], None, d) for x, d in enumerate((ok.sum(1) - 1).tolist()) if d > 0]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+        for row in each_row(batches):
+            sizes = np.frombuffer(row["sizes"], "<u4").astype(np.int64)
+            m = len(sizes)
+            if m < 2:
+                continue
+            rows = bit_rows(row["bits"], m)
+            ok = similar(overlaps(rows, rows, m, m), sizes, sizes, j.percent)
+            forest, names = Forest(m), [row["names"][NAME * x : NAME * x + NAME] for x in range(m)]
+            out = [(names[x], names[y], None) for x, y in np.argwhere(np.triu(ok, 1)).tolist() if forest.join(x, y)]
+            out += [(names[x], None, d) for x, d in enumerate((ok.sum(1) - 1).tolist()) if d > 0]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
     return groups.mapInArrow(run, f"{LINK}, n int")
 
 
 def links_between(pairs: DataFrame, groups: DataFrame, j: Join) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                n, m = (np.frombuffer(r[c], "<u4").astype(np.int64) for c in ("sizes", "sizes2"))
-                _, x, y = np.intersect1d(np.frombuffer(r["tokens"], "<u8"), np.frombuffer(r["tokens2"], "<u8"), assume_unique=True, return_indices=True)
-                if not len(x):
-                    continue
-                p, q = bit_rows(r["bits"], len(n))[x], bit_rows(r["bits2"], len(m))[y]
-                # the bound: a member's overlap with the other group's whole union
-                reach_n = np.unpackbits(p, axis=1, count=len(n)).sum(0, dtype=np.int64)
-                reach_m = np.unpackbits(q, axis=1, count=len(m)).sum(0, dtype=np.int64)
-                if not (100 * reach_n >= j.percent * n).any() or not (100 * reach_m >= j.percent * m).any():
-                    continue
-                ok = similar(overlaps(p, q, len(n), len(m)), n, m, j.percent)
-                forest, out = Forest(len(n) + len(m)), []
-                for a, b in np.argwhere(ok).tolist():
-                    if forest.join(a, len(n) + b):
-                        out.append((r["names"][NAME * a : NAME * a + NAME], r["names2"][NAME * b : NAME * b + NAME]))
-                if out:
-                    yield link_batch(out)
+        for r in each_row(batches):
+            n, m = (np.frombuffer(r[c], "<u4").astype(np.int64) for c in ("sizes", "sizes2"))
+            _, x, y = np.intersect1d(np.frombuffer(r["tokens"], "<u8"), np.frombuffer(r["tokens2"], "<u8"), assume_unique=True, return_indices=True)
+            if not len(x):
+                continue
+            p, q = bit_rows(r["bits"], len(n))[x], bit_rows(r["bits2"], len(m))[y]
+            # the bound: a member's overlap with the other group's whole union
+            reach_n = np.unpackbits(p, axis=1, count=len(n)).sum(0, dtype=np.int64)
+            reach_m = np.unpackbits(q, axis=1, count=len(m)).sum(0, dtype=np.int64)
+            if not (100 * reach_n >= j.percent * n).any() or not (100 * reach_m >= j.percent * m).any():
+                continue
+            ok = similar(overlaps(p, q, len(n), len(m)), n, m, j.percent)
+            forest, out = Forest(len(n) + len(m)), []
+            for a, b in np.argwhere(ok).tolist():
+                if forest.join(a, len(n) + b):
+                    out.append((r["names"][NAME * a : NAME * a + NAME], r["names2"][NAME * b : NAME * b + NAME]))
+            if out:
+                yield link_batch(out)
 
     left = pairs.join(groups.withColumnRenamed("group", "a"), "a")
     both = left.join(groups.select(F.col("group").alias("b"), *(F.col(c).alias(f"{c}2") for c in ("names", "sizes", "tokens", "bits"))), "b")
@@ -632,7 +627,7 @@ def linked(documents: DataFrame, j: Join = Join()) -> DataFrame:
     # 2: first components
     alone = classes.withColumn("component", F.col("name"))
     every = by_hash(alone, 0, j.hashes)
-    often = every.groupBy("h", "m").agg(F.count("*").alias("n")).filter("n > 1")
+    often = every.groupBy("h", "m").agg(F.count("*").alias("n")).filter((F.col("h") == 0) & (F.col("n") > 1) | (F.col("n") >= j.often))
     near = common.attach(every, often.withColumn("weight", F.col("n")), ["h", "m"], "weight", every.count(), "inner").select("name").distinct()
     chosen = work.keep(classes.select("name", "number").join(near, "name", "left_semi"), "chosen")
     size = 1 << min(j.filter_bits, max(20, int(16 * max(1, chosen.count())).bit_length()))
@@ -647,7 +642,7 @@ def linked(documents: DataFrame, j: Join = Join()) -> DataFrame:
         rooted = marked_.join(roots.withColumnRenamed("vertex", "name"), "name", "left").join(degrees, "name", "left").withColumn("component", F.coalesce("root", "name"))
         own = F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "name")
         one_each = by_hash(rooted.withColumn("name", own), 1, j.hashes).groupBy("h", "m", "component").agg(F.max("name").alias("best"), F.count("*").alias("size"))
-        links = first_links(*shared_groups(one_each.select("h", "m", "best.name", "size", "best.degree"), j, work, "groups1"), sets, j)
+        links = first_links(*shared_groups(one_each.select("h", "m", "best.name", "size", "best.degree"), j, work, "groups1", j.often), sets, j)
         links = roots.select(F.col("vertex").alias("a"), F.col("root").alias("b")).unionByName(links.filter("b is not null").drop("n"))
         roots = work.keep(components(work.keep(links, "links1"), work, "components1"), "roots1")
 
