@@ -9,8 +9,10 @@ Layout under a root in shared storage:
 (each tier `fan` times the one below), and merges a tier with `fan` shards or more into files of about `target_bytes`:
 the shards are read once, and neighbouring reads are written to one file, again without a shuffle. A shard near the
 target is left alone. Readers see the version that they opened; a writer that lost the race for a version number fails
-and leaves files that no manifest names, which `vacuum` removes. A lost executor costs its tasks only: shards get their
-names from Spark's committer and enter the manifest after the write has succeeded.
+and leaves files that no manifest names. `vacuum` removes those, and versions that have been replaced, once they are
+older than `keep_hours`: files of a writer that hasn't committed, and versions that a reader may hold, are younger. A lost executor costs its tasks only: shards get their
+names from Spark's committer and enter the manifest after the write has succeeded. The driver holds the names of a
+version's shards, as it does for every file source: about 100 bytes for each `target_bytes` of data.
 
 Edge cases: all columns and types are kept, whatever their names, null and empty texts included; an empty arrival adds
 a shard without rows, or none; repeated rows stay repeated; equal sizes are ordered by name.
@@ -18,6 +20,7 @@ a shard without rows, or none; repeated rows stay repeated; equal sizes are orde
 
 from __future__ import annotations
 
+import time
 import uuid
 from dataclasses import dataclass
 
@@ -35,6 +38,7 @@ class Tiers:
     least_bytes: int = 1 << 20
     fan: int = 4
     full: float = 0.7
+    keep_hours: float = 7 * 24.0
 
 
 class ShardStore:
@@ -114,16 +118,25 @@ class ShardStore:
                 return base + 1
 
     def vacuum(self) -> None:
-        """Removes data that the latest version doesn't name, and older versions."""
-        spark, version = self.spark, self.version()
-        fs, data = common.filesystem(spark, f"{self.root}/data")
-        live = {r[0].rsplit("/", 1)[1] for r in self.manifest(version).select("shard").collect()}
+        """Removes data that no kept version names. The latest version is kept, and all that were replaced less than
+        `keep_hours` ago; so is data younger than that."""
+        fs, data = common.filesystem(self.spark, f"{self.root}/data")
+        _, versions = common.filesystem(self.spark, f"{self.root}/versions")
+        before = time.time() * 1000 - self.tiers.keep_hours * 3_600_000
+        found = sorted((int(s.getPath().getName()), s.getModificationTime()) for s in fs.listStatus(versions) if s.getPath().getName().isdigit())
+        # a version was replaced when the next one was made
+        gone = [n for (n, _), (_, replaced) in zip(found, found[1:], strict=False) if replaced < before]
+        live = {r[0].rsplit("/", 1)[1] for n, _ in found if n not in gone for r in self.manifest(n).select("shard").collect()}
         for folder in fs.listStatus(data):
-            for f in fs.listStatus(folder.getPath()):
-                if f.getPath().getName() not in live:
-                    fs.delete(f.getPath(), True)
-        for old in range(1, version):
-            common.delete(spark, f"{self.root}/versions/{old:012d}")
+            files = fs.listStatus(folder.getPath())
+            dead = [f.getPath() for f in files if f.getPath().getName() not in live and f.getModificationTime() < before]
+            if len(dead) == len(files) and folder.getModificationTime() < before:
+                fs.delete(folder.getPath(), True)
+            else:
+                for path in dead:
+                    fs.delete(path, True)
+        for old in gone:
+            common.delete(self.spark, f"{self.root}/versions/{old:012d}")
 
     # ---- reading
 
@@ -136,21 +149,35 @@ class ShardStore:
 
 
 def arrivals(table: DataFrame, n: int = 8) -> list[DataFrame]:
-    """The table's files in n parts, as if each had come on its own; every file is read once."""
+    """The table in n parts, as if each had come on its own: runs of its files, or where there are fewer files than that, each
+    run again by a hash of doc_id, so that there are n arrivals whatever the files."""
     files = sorted(table.inputFiles())
-    parts = [files[i * len(files) // n : (i + 1) * len(files) // n] for i in range(n)]
-    return [table.sparkSession.read.schema(table.schema).parquet(*p) for p in parts if p]
+    runs = max(1, min(n, len(files)))
+    out = []
+    for i in range(runs):
+        part = table.sparkSession.read.schema(table.schema).parquet(*files[i * len(files) // runs : (i + 1) * len(files) // runs]) if files else table
+        shares = (i + 1) * n // runs - i * n // runs
+        out += [part.filter(F.pmod(F.xxhash64("doc_id"), F.lit(shares)) == k) if shares > 1 else part for k in range(shares)]
+    return out
+
+
+def ingest(documents: DataFrame, root: str, tiers: Tiers = Tiers()) -> ShardStore:
+    """Appends every arrival and compacts as tiers fill."""
+    common.tune(documents.sparkSession)
+    store = ShardStore(documents.sparkSession, root, tiers)
+    for i, part in enumerate(arrivals(documents), 1):
+        store.append(part)
+        if i % tiers.fan == 0:
+            store.compact(documents.schema)
+    store.compact(documents.schema)
+    store.vacuum()
+    return store
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as they come back from the live shards after appends and compaction."""
-    common.tune(spark)
+    """Documents as they come back from the live shards after appends and compactions."""
     documents = common.read(spark, sf_dir, "documents")
-    store = ShardStore(spark, f"{common.shared_folder(spark)}/shards-{uuid.uuid4().hex}")
-    for part in arrivals(documents):
-        store.append(part)
-    store.compact(documents.schema)
-    store.vacuum()
+    store = ingest(documents, f"{common.shared_folder(spark)}/shards-{uuid.uuid4().hex}")
     return store.read(documents.schema).select("doc_id", "lang", "source", F.octet_length("text").cast("long").alias("n_bytes"), F.md5("text").alias("text_md5"))
 
 
