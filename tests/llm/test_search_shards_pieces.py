@@ -19,7 +19,7 @@ def plain_topk(rows, every, k):
     return out
 
 
-@pytest.mark.parametrize("case", ["random", "copies", "odd", "few"])
+@pytest.mark.parametrize("case", ["random", "copies", "odd", "few", "large", "repeated"])
 def test_topk(spark, case):
     r = np.random.default_rng(1)
     if case == "random":
@@ -28,6 +28,12 @@ def test_topk(spark, case):
         rows = [(i, [0.5, 0.25, -0.5] if i % 3 else r.normal(size=3).round(2).tolist()) for i in range(300)]
     elif case == "odd":
         rows = [(0, [1.0, 2.0]), (1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [0.0, 0.0]), (10, [1.0]), (20, []), (None, [1.0, 1.0]), (7, [-1.0, 0.003]), (8, [1.0, 2.0]), (8, [3.0, 2.0])]
+    elif case == "large":  # products beyond float64's whole numbers, and components beyond the index
+        rows = [(i, r.normal(size=3).round(3).tolist()) for i in range(120)]
+        rows += [(130, [1e5, 0.5, -1.0]), (131, [3e6 + 0.25, 1.0, 0.5]), (132, [-2e6, 7.25, 1.0]), (140, [2e6 + 0.5, 1.0, 1.25]), (141, [3.0, 1e6, 0.125])]
+    elif case == "repeated":  # a query's row over and over, beyond many blocks
+        rows = [(i, r.normal(size=6).round(3).tolist()) for i in range(200)]
+        rows += [rows[50]] * 500
     else:
         rows = [(0, [1.0]), (10, [2.0])]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], VEC).withColumnRenamed("label", "score")
@@ -35,6 +41,12 @@ def test_topk(spark, case):
     assert got == plain_topk(rows, 10, 5)
 
 
+def test_topk_saturates(spark):
+    df = spark.createDataFrame([(0, [1e300, 1.0], 1), (1, [1e300, 0.0], 1), (2, [-1e308, 1.0], 1), (3, [0.0, 2.0], 1)], VEC)
+    got = [tuple(x) for x in topk_search.search(df, 10, 5).orderBy("rank").collect()]
+    assert got == [(0, 1, 1, (1 << 63) - 1), (0, 2, 3, 256 * 512), (0, 3, 2, -(1 << 63))]
+
+
 def test_topk_empty(spark):
     assert topk_search.search(spark.createDataFrame([], VEC)).count() == 0
 
@@ -55,8 +67,20 @@ def test_sharding(spark, frame, odd_texts, tmp_path):
     assert sorted(r.doc_id for r in store.read(schema, version).collect()) == list(range(len(texts)))  # a reader's version stays
     sizes = store.tiered(store.manifest()).filter("tier is not null").groupBy("tier").count().collect()
     assert all(r["count"] < 3 for r in sizes)
-    store.vacuum()
+    store.vacuum()  # all of it is younger than the time that readers and writers have
+    assert store.read(schema, version).count() == store.read(schema).count() == len(texts)
+    sharding.ShardStore(spark, store.root, sharding.Tiers(keep_hours=-1)).vacuum()
     assert store.read(schema).count() == len(texts)
+    with pytest.raises(Exception):  # noqa: B017
+        store.read(schema, version).count()
+
+
+def test_ingest_compacts_any_table(spark, tmp_path):
+    """A table of one file: more than one version, and fewer shards than arrivals."""
+    documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    store = sharding.ingest(documents, f"file://{tmp_path}/s")
+    assert store.version() > 8 and store.manifest().count() < 8
+    assert store.read(documents.schema).exceptAll(documents).isEmpty() and store.read(documents.schema).count() == documents.count()
 
 
 def test_commit_is_exclusive(spark, frame, tmp_path):
