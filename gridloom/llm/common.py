@@ -96,6 +96,34 @@ def attach(left: DataFrame, right: DataFrame, on: list[str], weight: str, rows:
     return left.join(hot, on).unionByName(cold)
 
 
+def apart(documents: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame | None]:
+    """Documents whose doc_id names one text. Where ids of the table are shared by different texts, doc_id becomes the number of
+    the pair (doc_id, text) in order; then the second result (number, own_id) tells the ids behind them. Null ids stay null."""
+    text = F.coalesce("text", F.lit(""))
+    both = {"text_hash": F.xxhash64(text), "text_crc": F.crc32(text.cast("binary"))}
+    known = documents.filter("doc_id IS NOT NULL").select("doc_id", *(c.alias(n) for n, c in both.items()))
+    if known.groupBy("doc_id").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high")).filter("low <> high").isEmpty():
+        return documents, None
+    keys = ["doc_id", *both]
+    pairs = known.groupBy(*keys).agg(F.count("*").alias("n"))
+    pairs = work.keep(pairs.repartitionByRange(partitions(documents.sparkSession), *keys).sortWithinPartitions(*keys).withColumn("number", F.monotonically_increasing_id()), "numbers")
+    columns = documents.columns
+    clean = documents.select(F.struct(*columns).alias("whole"), "doc_id", *(c.alias(n) for n, c in both.items()))
+    numbered = attach(clean, pairs, keys, "n", pairs.agg(F.sum("n")).first()[0], "left")
+    return numbered.select(*(F.col("number").alias(c) if c == "doc_id" else F.col(f"whole.{c}").alias(c) for c in columns)), pairs.select("number", F.col("doc_id").alias("own_id"))
+
+
+def own_ids(documents: DataFrame, ids: DataFrame | None, *columns: str) -> DataFrame:
+    """Puts the ids back in the place of apart()'s numbers."""
+    if ids is None:
+        return documents
+    names = documents.columns
+    for c in columns:
+        whole = documents.select(F.struct(*names).alias("whole"), F.col(c).alias("number"))
+        documents = whole.join(ids, "number", "left").select(*(F.col("own_id").alias(n) if n == c else F.col(f"whole.{n}").alias(n) for n in names))
+    return documents
+
+
 def crc_remainder(doc_id, modulus: int):
     """crc32 of the id written as text, modulo."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus

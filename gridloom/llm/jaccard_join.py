@@ -720,8 +720,14 @@ def split_by(documents: DataFrame, ids: DataFrame, most_bits: int = 22) -> tuple
 
 def keep_one(documents: DataFrame, j: Join = Join()) -> DataFrame:
     """One document of each component, the one with the smallest doc_id, with its own columns. Documents without words
-    and rows without doc_id stay; of rows that share a doc_id and words, one stays."""
+    and rows without doc_id stay; of rows that share doc_id and text, one stays, while different texts of one doc_id are
+    documents of their own."""
     work = common.Workspace(documents.sparkSession, "keep")
+    documents, ids = common.apart(documents, work)
+    return common.own_ids(_keep_one(documents, j, work), ids, "doc_id")
+
+
+def _keep_one(documents: DataFrame, j: Join, work: common.Workspace) -> DataFrame:
     found = work.keep(linked(documents, j).filter("doc_id is not null"), "found")
     kept = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id")
     n, distinct = kept.agg(F.count("*"), F.count_distinct("doc_id")).first()

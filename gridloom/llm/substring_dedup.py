@@ -21,8 +21,8 @@ are the minima of a sliding window of that size, and the tree over them alone gi
 A verified span is a repeat of an earlier document's passage; overlapping spans of a document merge.
 
 Edge cases: null and empty texts and texts below fifty words have no spans; rows without doc_id take no part and stay as
-they are; rows that share a doc_id count as one document and aren't held against each other; a passage repeated only
-within one document isn't touched; other columns pass through `cut_documents`; an empty table gives no rows.
+they are; rows that share doc_id and text count as one document and aren't held against each other, while different texts
+of one doc_id are documents of their own, in an order of their own; a passage repeated only within one document isn't touched; other columns pass through `cut_documents`; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -386,6 +386,12 @@ def verify(found: DataFrame, tokens: DataFrame, p: Passages) -> DataFrame:
 
 def repeats(documents: DataFrame, p: Passages = Passages()) -> DataFrame:
     """doc_id, first_word, n_words, kept_doc_id, similarity: passages that repeat one of an earlier document."""
+    named, ids = common.apart(documents.select("doc_id", "text"), common.Workspace(documents.sparkSession, "passages"))
+    return common.own_ids(spans(named, p), ids, "doc_id", "kept_doc_id")
+
+
+def spans(documents: DataFrame, p: Passages) -> DataFrame:
+    """repeats() of documents whose doc_id names one text."""
     spark = documents.sparkSession
     work = common.Workspace(spark, "passages")
     buckets = common.partitions(spark)
@@ -403,11 +409,11 @@ def repeats(documents: DataFrame, p: Passages = Passages()) -> DataFrame:
     wanted = spark.sparkContext.broadcast(bit_filter(ids, size))
     tokens = token_table(documents, p, wanted, size).groupBy("doc_id").agg(F.max("tokens").alias("tokens"))
     tokens = work.keep(tokens, "tokens")
-    spans = work.keep(verify(found, tokens, p), "spans")
+    verified = work.keep(verify(found, tokens, p), "spans")
     work.drop("pairs", "ids", "tokens")
     in_order = Window.partitionBy("doc_id").orderBy("begin", "end", "kept_doc_id")
     reach = F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = spans.distinct().withColumn("new", F.when(F.col("begin") <= reach, 0).otherwise(1)).withColumn("island", F.sum("new").over(in_order))
+    marked = verified.distinct().withColumn("new", F.when(F.col("begin") <= reach, 0).otherwise(1)).withColumn("island", F.sum("new").over(in_order))
     merged = marked.groupBy("doc_id", "island").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.min("kept_doc_id").alias("kept_doc_id"), F.max(F.col("matches") / (F.col("end") - F.col("begin"))).alias("similarity"))
     return merged.select("doc_id", F.col("begin").alias("first_word"), (F.col("end") - F.col("begin") + p.words - 1).alias("n_words"), "kept_doc_id", "similarity")
 
@@ -432,17 +438,18 @@ def cut_documents(documents: DataFrame, p: Passages = Passages()) -> DataFrame:
     while own in columns:
         own += "_"
     work = common.Workspace(documents.sparkSession, "cut")
-    spans = work.keep(repeats(documents, p).groupBy("doc_id").agg(F.collect_list(F.struct("first_word", "n_words")).alias(own)), "spans")
-    maybe, whole = split_by(documents, spans.select("doc_id"))
-    joined = maybe.join(spans, "doc_id", "left").select(*columns, own)
+    documents, ids = common.apart(documents, work)
+    found = work.keep(spans(documents, p).groupBy("doc_id").agg(F.collect_list(F.struct("first_word", "n_words")).alias(own)), "spans")
+    maybe, whole = split_by(documents, found.select("doc_id"))
+    joined = maybe.join(found, "doc_id", "left").select(*columns, own)
     text, chars = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, texts = batch.column(len(columns)).to_pylist(), batch.column(text).to_pylist()
+            cuts, texts = batch.column(len(columns)).to_pylist(), batch.column(text).to_pylist()
             sizes = batch.column(chars).to_pylist() if chars is not None else []
             stay = []
-            for i, s in enumerate(spans):
+            for i, s in enumerate(cuts):
                 stay.append(True)
                 if s:
                     texts[i] = without(texts[i].encode(), [(x["first_word"], x["n_words"]) for x in s]).decode()
@@ -452,7 +459,7 @@ def cut_documents(documents: DataFrame, p: Passages = Passages()) -> DataFrame:
             new = [pa.array(texts, pa.string()) if i == text else pa.array(sizes, batch.column(i).type) if i == chars else batch.column(i) for i in range(len(columns))]
             yield pa.RecordBatch.from_arrays(new, columns).filter(pa.array(stay, pa.bool_()))
 
-    return whole.unionByName(joined.mapInArrow(run, schema))
+    return common.own_ids(whole.unionByName(joined.mapInArrow(run, schema)), ids, "doc_id")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -171,6 +171,22 @@ def test_cut(frame, odd_texts):
     assert substring_dedup.cut_documents(frame([])).count() == 0
 
 
+def test_different_texts_of_one_id(frame):
+    """Rows that share a doc_id but not the text are cut, and kept or left out, each for itself."""
+    passage, other = prose(70, 120), prose(71, 300)
+    texts = [f"{prose(1, 30)} {passage}", f"{prose(2, 40)} {passage} {prose(3, 10)}", "short text only", other, f"{prose(4, 20)} {passage}", None]
+    out = substring_dedup.cut_documents(frame(texts, ids=[1, 5, 5, 5, 7, None]).withColumnRenamed("lang", "number"))
+    left = sorted((r.doc_id or 0, r.text or "") for r in out.collect())
+    assert left[:2] == [(0, ""), (1, texts[0])] and {(5, "short text only"), (5, other)} < set(left) and len(left) == 6
+    rest = {i: next(t for d, t in left if d == i and t not in ("short text only", other)) for i in (5, 7)}  # a word beside a passage can agree by chance
+    assert passage not in rest[5] and len(rest[5].split()) in range(47, 51) and len(rest[7].split()) in range(17, 21)
+    found = substring_dedup.repeats(frame(texts, ids=[1, 5, 5, 5, 7, None])).collect()
+    assert sorted((r.doc_id, r.kept_doc_id) for r in found) == [(5, 1), (7, 1)] and all(120 <= r.n_words <= 123 for r in found)
+    same = [prose(1, 60), prose(1, 60), prose(2, 60), prose(3, 60), prose(3, 60), prose(3, 60)]
+    kept = jaccard_join.keep_one(frame(same, ids=[1, 5, 5, 6, 6, None]))
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(1, same[0]), (5, same[2]), (6, same[3]), (0, same[5])])
+
+
 def test_windows_cover_every_sequence():
     """Each stretch of `least` tokens or more lies in exactly one window of each function, the one of its least token."""
     p = substring_dedup.Passages(least=5, hashes=2, apart=2)
