@@ -83,16 +83,19 @@ def band_role(description: Column) -> Column:
     return out
 
 
+#: "Band", its number, a colon, the band's id, and its role in brackets.
+BAND_LINE = r"Band[ \t]+([0-9]+):[ \t]+[^ \t\n(]+[ \t]+\(([A-Za-z0-9_]+)\)"
+
+
 def band_lines(words: Column) -> Column:
     """Array of (band, role) from text such as "Band 4: B08 (NIR)"."""
-    pattern = r"Band\s+(\d+):\s+\S+\s+\((\w+)\)"
-    numbers = F.regexp_extract_all(words, F.lit(pattern), F.lit(1))
-    roles = F.regexp_extract_all(words, F.lit(pattern), F.lit(2))
-    return F.transform(F.arrays_zip(numbers.alias("n"), roles.alias("r")), lambda p: F.struct(p["n"].cast("int").alias("band"), p["r"].alias("role")))
+    found = F.regexp_extract_all(words, F.lit(BAND_LINE), F.lit(0))
+    return F.transform(found, lambda line: F.struct(F.regexp_extract(line, BAND_LINE, 1).cast("int").alias("band"), F.regexp_extract(line, BAND_LINE, 2).alias("role")))
 
 
 def xml_items(xml: Column) -> Column:
-    """Array of (name, sample, value) of the Item elements of band metadata; sample is null for items of the whole file."""
-    names = F.xpath(xml, F.lit("//Item/@name"))
-    values = F.xpath(xml, F.lit("//Item/text()"))
-    return F.arrays_zip(names.alias("name"), values.alias("value"))
+    """Array of (name, sample, value) of the Item elements of band metadata; sample is null for items of the whole file, and an
+    empty item's value is empty. Each element is read by itself."""
+    found = F.regexp_extract_all(xml, F.lit(r"(?s)<Item\b(?:[^>]*/>|.*?</Item\s*>)"), F.lit(0))
+    sample = lambda item: F.nullif(F.xpath_string(item, F.lit("Item/@sample")), F.lit("")).cast("int")
+    return F.transform(found, lambda item: F.struct(F.xpath_string(item, F.lit("Item/@name")).alias("name"), sample(item).alias("sample"), F.xpath_string(item, F.lit("Item")).alias("value")))

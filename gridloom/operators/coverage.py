@@ -115,8 +115,12 @@ def coverage_gaps(sources: DataFrame, most: int = 2000) -> DataFrame:
     free = np.ones((ny, nx), bool)
     free[cells.column("cy").to_numpy(), cells.column("cx").to_numpy()] = False
     labels = label_holes(free)
-    rows = []
-    for k in np.unique(labels[labels > 0]).tolist():
-        y, x = np.nonzero(labels == k)
-        rows.append((float(low_x + x.min() * step_x), float(low_y + y.min() * step_y), float(low_x + (x.max() + 1) * step_x), float(low_y + (y.max() + 1) * step_y), len(x)))
+    y, x = np.nonzero(labels)
+    _, hole, cells = np.unique(labels[y, x], return_inverse=True, return_counts=True)
+    first, last = np.full((2, len(cells)), most), np.zeros((2, len(cells)), np.int64)
+    for axis, at in enumerate((x, y)):
+        np.minimum.at(first[axis], hole, at)
+        np.maximum.at(last[axis], hole, at + 1)
+    edges = (low_x + first[0] * step_x, low_y + first[1] * step_y, low_x + last[0] * step_x, low_y + last[1] * step_y, cells)
+    rows = list(zip(*(e.tolist() for e in edges), strict=True))
     return spark.createDataFrame(rows, "min_x double, min_y double, max_x double, max_y double, cells long")

@@ -42,10 +42,19 @@ def entries(tiles: DataFrame) -> DataFrame:
 
 
 def runs(rows: DataFrame) -> DataFrame:
-    """tile_id, off, len, run: neighbouring ids with the same payload as one entry. Islands are found within each payload."""
-    own = Window.partitionBy("off", "len").orderBy("tile_id")
-    island = rows.withColumn("_island", F.col("tile_id") - F.row_number().over(own))
-    return island.groupBy("off", "len", "_island").agg(F.min("tile_id").alias("tile_id"), F.count("*").alias("run")).select("tile_id", "off", "len", "run")
+    """tile_id, off, len, run: neighbouring ids with the same payload as one entry. An entry is compared with the one before it
+    within ranges of ids, the first of a range with the last of the range before, so that a payload that most tiles share
+    is spread over all ranges."""
+    width = 1 << 16
+    entry = F.struct("tile_id", "off", "len")
+    rows = rows.withColumn("_range", F.floor(F.col("tile_id") / width).cast("long"))
+    edges = rows.groupBy((F.col("_range") + 1).alias("_range")).agg(F.max(entry).alias("_edge"))
+    rows = rows.withColumn("_before", F.lag(entry).over(Window.partitionBy("_range").orderBy("tile_id"))).join(edges, "_range", "left")
+    before = F.coalesce("_before", "_edge")
+    goes_on = (before["tile_id"] == F.col("tile_id") - 1) & (before["off"] == F.col("off")) & (before["len"] == F.col("len"))
+    begins = F.when(goes_on, 0).otherwise(1)
+    island = running(rows.select("tile_id", "off", "len", begins.alias("_begins")), "tile_id", F.col("_begins"), "_n", width)
+    return island.groupBy((F.col("_n") + F.col("_begins")).alias("_island")).agg(F.min("tile_id").alias("tile_id"), F.min("off").alias("off"), F.min("len").alias("len"), F.count("*").alias("run")).drop("_island")
 
 
 def expand(rows: DataFrame) -> DataFrame:

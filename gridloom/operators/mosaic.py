@@ -15,26 +15,39 @@ def _meet(a: str, b: str) -> Column:
     return (F.col(f"{a}.max_x") >= F.col(f"{b}.min_x")) & (F.col(f"{a}.min_x") <= F.col(f"{b}.max_x")) & (F.col(f"{a}.max_y") >= F.col(f"{b}.min_y")) & (F.col(f"{a}.min_y") <= F.col(f"{b}.max_y"))
 
 
-def overlap_join(tiles: DataFrame, sources: DataFrame, most_broadcast: int = 10_000, cells: int = 512) -> DataFrame:
-    """Every pair of a tile and a source whose closed boxes meet. Few sources are sent to all tasks; with more than
-    `most_broadcast`, both sides go to the cells of a grid that they touch, meet there by equality, and count the pair in
-    the cell of the overlap's lower left corner only."""
+def overlap_join(tiles: DataFrame, sources: DataFrame, levels: int = 12) -> DataFrame:
+    """Every pair of a tile and a source whose closed boxes meet. Grids of cells, each level's twice as wide as those of the
+    level below, cover all sources. A box belongs to the first level whose cells are as large as it, where it touches a few cells;
+    boxes meet in the cells of the higher of their levels, by equality, and a pair counts in the cell of the overlap's
+    lower left corner only. Catalyst sends a side to all tasks where it is small by its own measure."""
     t_cols, s_cols = tiles.columns, [c for c in sources.columns if c not in BOX]
-    if sources.count() <= most_broadcast:
-        return tiles.alias("t").join(F.broadcast(sources.alias("s")), _meet("t", "s")).select("t.*", *(F.col(f"s.{c}") for c in s_cols))
     low_x, low_y, high_x, high_y = sources.agg(F.min("min_x"), F.min("min_y"), F.max("max_x"), F.max("max_y")).first()
-    step_x, step_y = max((high_x - low_x) / cells, 1e-12), max((high_y - low_y) / cells, 1e-12)
-
-    def cell(v: Column, low: float, step: float) -> Column:
-        return F.least(F.greatest(F.floor((v - low) / step), F.lit(0).cast("long")), F.lit(cells - 1).cast("long"))
-
-    def touched(df: DataFrame) -> DataFrame:
-        xs = F.sequence(cell(F.col("min_x"), low_x, step_x), cell(F.col("max_x"), low_x, step_x))
-        ys = F.sequence(cell(F.col("min_y"), low_y, step_y), cell(F.col("max_y"), low_y, step_y))
+    if low_x is None:
+        return tiles.crossJoin(sources.select(*s_cols).limit(0))
+    step_x, step_y = max((high_x - low_x) / (1 << levels), 1e-12), max((high_y - low_y) / (1 << levels), 1e-12)
+
+    def cell(v: Column, low: float, step: float, level: Column) -> Column:
+        size = F.pow(F.lit(2.0), level)
+        return F.least(F.greatest(F.floor((v - low) / (step * size)), F.lit(0).cast("long")), F.floor(((1 << levels) - 1) / size))
+
+    def own_level(df: DataFrame) -> DataFrame:
+        wide = F.greatest((F.col("max_x") - F.col("min_x")) / step_x, (F.col("max_y") - F.col("min_y")) / step_y, F.lit(1.0))
+        return df.withColumn("_own", F.least(F.ceil(F.log2(wide)), F.lit(levels)).cast("int"))
+
+    def touched(df: DataFrame, others: list[int]) -> DataFrame:
+        at = F.array_distinct(F.concat(F.array("_own"), F.filter(F.lit(others).cast("array<int>"), lambda k: k > F.col("_own"))))
+        df = df.withColumn("_level", F.explode(at))
+        k = F.col("_level")
+        xs = F.sequence(cell(F.col("min_x"), low_x, step_x, k), cell(F.col("max_x"), low_x, step_x, k))
+        ys = F.sequence(cell(F.col("min_y"), low_y, step_y, k), cell(F.col("max_y"), low_y, step_y, k))
         return df.withColumn("_cx", F.explode(xs)).withColumn("_cy", F.explode(ys))
 
-    both = touched(tiles).alias("t").join(touched(sources).alias("s"), ["_cx", "_cy"]).where(_meet("t", "s"))
-    corner = (F.col("_cx") == cell(F.greatest("t.min_x", "s.min_x"), low_x, step_x)) & (F.col("_cy") == cell(F.greatest("t.min_y", "s.min_y"), low_y, step_y))
+    tiles, sources = own_level(tiles), own_level(sources)
+    used = [sorted(r[0] for r in df.select("_own").distinct().collect()) for df in (tiles, sources)]  # levels + 1 at most
+    both = touched(tiles, used[1]).alias("t").join(touched(sources, used[0]).alias("s"), ["_level", "_cx", "_cy"])
+    both = both.where((F.col("_level") == F.greatest("t._own", "s._own")) & _meet("t", "s"))
+    k = F.col("_level")
+    corner = (F.col("_cx") == cell(F.greatest("t.min_x", "s.min_x"), low_x, step_x, k)) & (F.col("_cy") == cell(F.greatest("t.min_y", "s.min_y"), low_y, step_y, k))
     return both.where(corner).select(*(F.col(f"t.{c}") for c in t_cols), *(F.col(f"s.{c}") for c in s_cols))
 
 

@@ -7,6 +7,7 @@ lineage stays one level long.
 
 from __future__ import annotations
 
+import functools
 import math
 import uuid
 import zlib
@@ -49,6 +50,8 @@ def unpack(form: str, data: bytes, size: int) -> np.ndarray:
 def shared(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         import tempfile
 
         base = f"file://{tempfile.mkdtemp(prefix='gridloom-')}"
@@ -92,9 +95,9 @@ def level_up(tiles: DataFrame, size: int, mode: str) -> DataFrame:
     return up.groupBy(*KEY).applyInPandas(join, TILE)
 
 
-def fill_tiles(tiles: DataFrame, positions: DataFrame, fill: Colour) -> DataFrame:
-    """A tile of the fill colour wherever there is none."""
-    empty = coverage.missing(positions, tiles)
+def fill_tiles(tiles: DataFrame, known: DataFrame, positions: DataFrame, fill: Colour) -> DataFrame:
+    """A tile of the fill colour wherever there is none. known: the tiles' addresses, from where they needn't be decoded."""
+    empty = coverage.missing(positions, known)
     return tiles.unionByName(empty.select(F.col("z").cast("int").alias("z"), "x", "y", F.lit("uniform").alias("form"), F.lit(bytes(fill)).alias("pixels")))
 
 
@@ -174,7 +177,7 @@ def build_pyramid(spark: SparkSession, inputs: list[str], out: str, options: Pyr
         now = keep(level_up(now, options.tile_size, options.resampling), f"{root}/{z}")
         levels.append(now)
     if options.fill is not None:
-        levels = [fill_tiles(t, positions_in(spark, high - i, box), options.fill) for i, t in enumerate(levels)]
+        levels = [fill_tiles(t, t, positions_in(spark, high - i, box), options.fill) for i, t in enumerate(levels)]
     every = levels[0]
     for t in levels[1:]:
         every = every.unionByName(t)
@@ -233,8 +236,8 @@ def transform_archive(spark: SparkSession, path: str, out: str, options: Transfo
     if mode == "reencode":
         packed = decode_tiles(tiles, have, elevation)
         if options.fill is not None:
-            for z in range(low, high + 1):
-                packed = fill_tiles(packed, positions_in(spark, z, box).join(tiles.select(*KEY), KEY, "left_anti"), options.fill)
+            every = functools.reduce(DataFrame.unionByName, (positions_in(spark, z, box) for z in range(low, high + 1)))
+            packed = fill_tiles(packed, tiles, every, options.fill)
         return archive.write_archive(encode_tiles(packed, want, options.quality, size), out, info, root)
     now = keep(decode_tiles(deepest, have, elevation), f"{root}/{high}")
     levels = [now]
@@ -242,7 +245,7 @@ def transform_archive(spark: SparkSession, path: str, out: str, options: Transfo
         now = keep(level_up(now, size, options.resampling), f"{root}/{z}")
         levels.append(now)
     if options.fill is not None:
-        levels = [fill_tiles(t, positions_in(spark, high - i, box), options.fill) for i, t in enumerate(levels)]
+        levels = [fill_tiles(t, t, positions_in(spark, high - i, box), options.fill) for i, t in enumerate(levels)]
     every = levels[0]
     for t in levels[1:]:
         every = every.unionByName(t)

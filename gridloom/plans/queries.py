@@ -382,11 +382,11 @@ _GRID = """grid AS (SELECT x, y, x / 32.0::DOUBLE * 360 - 180 AS min_x, degrees(
 met AS (SELECT x, y, source_id FROM grid g JOIN sources s ON g.max_x >= s.min_x AND g.min_x <= s.max_x AND g.max_y >= s.min_y AND g.min_y <= s.max_y)"""
 
 
-def _met(spark, sf_dir, most: int = 10_000) -> DataFrame:
+def _met(spark, sf_dir, levels: int = 12) -> DataFrame:
     t = coverage.grid(spark, 5, 0, 31, 0, 31)
     box = geo.tile_bounds(F.col("z"), F.col("x"), F.col("y"))
     t = t.select("x", "y", *(c.alias(n) for c, n in zip(box, mosaic.BOX, strict=True)))
-    return mosaic.overlap_join(t, rel.sources(spark, sf_dir), most).select("x", "y", "source_id")
+    return mosaic.overlap_join(t, rel.sources(spark, sf_dir), levels).select("x", "y", "source_id")
 
 
 @query(with_(rel.SOURCES, _GRID) + "SELECT x, y, source_id FROM met")
@@ -397,7 +397,7 @@ def source_overlap(spark, sf_dir):
 @query(with_(rel.SOURCES, _GRID) + "SELECT x, y, source_id FROM met")
 def source_overlap_grid(spark, sf_dir):
     """The same by way of grid cells, as for more sources than can be broadcast."""
-    return _met(spark, sf_dir, 0)
+    return _met(spark, sf_dir, 3)
 
 
 _FIRST = """hit AS (SELECT event_id, source_id FROM points p JOIN sources s ON p.lon BETWEEN s.min_x AND s.max_x AND p.lat BETWEEN s.min_y AND s.max_y WHERE (event_id + source_id) % 3 <> 0)"""
@@ -512,7 +512,7 @@ def window_read(spark, sf_dir):
 
 # ---- positions
 
-_SPARSE = "have AS (SELECT DISTINCT 8 AS z, gx // 8 AS x, gy // 8 AS y FROM raster WHERE (gx // 8 * 7 + gy // 8 * 3) % 5 < 2), positions AS (SELECT 8 AS z, x, y FROM (SELECT unnest(range(64)) AS x), (SELECT unnest(range(16)) AS y))"
+_SPARSE = "have AS (SELECT DISTINCT 8 AS z, gx // 8 AS x, gy // 8 AS y FROM raster WHERE (gx // 8 * 7 + gy // 8 * 3) % 5 < 2), positions AS (SELECT 8 AS z, x, y FROM (SELECT unnest(range(n)) AS x FROM (SELECT max(gx) // 8 + 1 AS n FROM raster)), (SELECT unnest(range(n)) AS y FROM (SELECT max(gy) // 8 + 1 AS n FROM raster)))"
 
 
 def _sparse(spark, sf_dir) -> DataFrame:
@@ -520,14 +520,20 @@ def _sparse(spark, sf_dir) -> DataFrame:
     return t.filter((F.col("x") * 7 + F.col("y") * 3) % 5 < 2)
 
 
+def _positions(spark, sf_dir) -> DataFrame:
+    """Every tile of the raster's box."""
+    x, y = rel.raster(spark, sf_dir).agg(F.floor(F.max("gx") / 8), F.floor(F.max("gy") / 8)).first()
+    return coverage.grid(spark, 8, 0, x, 0, y)
+
+
 @query(with_(rel.RASTER, _SPARSE) + "SELECT z, x, y FROM positions ANTI JOIN have USING (x, y)")
 def missing_positions(spark, sf_dir):
-    return coverage.missing(coverage.grid(spark, 8, 0, 63, 0, 15), _sparse(spark, sf_dir))
+    return coverage.missing(_positions(spark, sf_dir), _sparse(spark, sf_dir))
 
 
 @query(with_(rel.RASTER, _SPARSE) + "SELECT z, x, y FROM have SEMI JOIN positions USING (x, y)")
 def positions_inside(spark, sf_dir):
-    return coverage.inside(_sparse(spark, sf_dir).select("z", "x", "y").distinct(), coverage.grid(spark, 8, 0, 63, 0, 15))
+    return coverage.inside(_sparse(spark, sf_dir).select("z", "x", "y").distinct(), _positions(spark, sf_dir))
 
 
 @query(with_(rel.RASTER, _SPARSE) + "SELECT DISTINCT CAST(8 - k AS INTEGER) AS z, x // CAST(pow(2, k) AS BIGINT) AS x, y // CAST(pow(2, k) AS BIGINT) AS y FROM have, (SELECT unnest(range(4)) AS k)")
@@ -538,7 +544,7 @@ def real_position_propagation(spark, sf_dir):
 @query(with_(rel.RASTER, _SPARSE, "t AS (SELECT gx // 8 AS x, gy // 8 AS y, max(r) AS r FROM raster GROUP BY 1, 2)") + "SELECT p.z, p.x, p.y, CASE WHEN have.x IS NOT NULL THEN t.r ELSE 99 END AS r, have.x IS NOT NULL AS is_real FROM positions p LEFT JOIN have ON have.x = p.x AND have.y = p.y LEFT JOIN t ON t.x = p.x AND t.y = p.y")
 def fill_children(spark, sf_dir):
     tiles = _sparse(spark, sf_dir).groupBy("z", "x", "y").agg(F.max("r").alias("r"))
-    return coverage.with_fill(coverage.grid(spark, 8, 0, 63, 0, 15), tiles, r=99)
+    return coverage.with_fill(_positions(spark, sf_dir), tiles, r=99)
 
 
 @query(with_(rel.SOURCES) + "SELECT round(min(min_x), 9) AS west, round(min(min_y), 9) AS south, round(max(max_x), 9) AS east, round(max(max_y), 9) AS north FROM sources")
@@ -548,7 +554,7 @@ def merged_bounds(spark, sf_dir):
 
 
 _CELLS = """size AS (SELECT min(min_x) AS x0, min(min_y) AS y0, max(max_x) - min(min_x) AS w, max(max_y) - min(min_y) AS h, avg(max_x - min_x) / 2 AS cw, avg(max_y - min_y) / 2 AS ch FROM sources),
-dims AS (SELECT *, CAST(least(20, greatest(1, ceil(w / cw))) AS BIGINT) AS nx, CAST(least(20, greatest(1, ceil(h / ch))) AS BIGINT) AS ny FROM size),
+dims AS (SELECT *, CAST(least(2000, greatest(1, ceil(w / cw))) AS BIGINT) AS nx, CAST(least(2000, greatest(1, ceil(h / ch))) AS BIGINT) AS ny FROM size),
 cells AS (SELECT cx, unnest(range(ny)) AS cy, x0, y0, w / nx AS sx, h / ny AS sy FROM (SELECT *, unnest(range(nx)) AS cx FROM dims)),
 free AS (SELECT cx, cy FROM cells c ANTI JOIN sources s ON c.x0 + (cx + 0.5) * sx >= s.min_x AND c.x0 + (cx + 0.5) * sx <= s.max_x AND c.y0 + (cy + 0.5) * sy >= s.min_y AND c.y0 + (cy + 0.5) * sy <= s.max_y)"""
 
@@ -558,7 +564,7 @@ free AS (SELECT cx, cy FROM cells c ANTI JOIN sources s ON c.x0 + (cx + 0.5) * s
 best AS (SELECT cx, cy, min(label) AS label FROM flood GROUP BY cx, cy)
 SELECT round(x0 + min(cx) * (w / nx), 6) AS min_x, round(y0 + min(cy) * (h / ny), 6) AS min_y, round(x0 + (max(cx) + 1) * (w / nx), 6) AS max_x, round(y0 + (max(cy) + 1) * (h / ny), 6) AS max_y, count(*) AS cells FROM best, dims GROUP BY label, x0, y0, w, h, nx, ny""")
 def coverage_gaps(spark, sf_dir):
-    g = coverage.coverage_gaps(rel.sources(spark, sf_dir), 20)
+    g = coverage.coverage_gaps(rel.sources(spark, sf_dir))
     return g.select(*(F.round(c, 6).alias(c) for c in mosaic.BOX), "cells")
 
 
@@ -677,10 +683,11 @@ def elevation_summary(spark, sf_dir):
     return summary.elevation_summary(rel.raster(spark, sf_dir))
 
 
-@query("""SELECT coalesce(a.k, b.k) AS k, a.v AS before, b.v AS after FROM (SELECT CAST(event_id AS VARCHAR) AS k, event_type AS v FROM events WHERE event_id < 500) a
-  FULL JOIN (SELECT CAST(event_id AS VARCHAR) AS k, CASE WHEN event_id % 7 = 0 THEN 'x' ELSE event_type END AS v FROM events WHERE event_id BETWEEN 100 AND 599) b ON a.k = b.k WHERE a.v IS DISTINCT FROM b.v""")
+@query("""SELECT coalesce(a.k, b.k) AS k, a.v AS before, b.v AS after FROM (SELECT CAST(event_id AS VARCHAR) AS k, event_type AS v FROM events WHERE event_id * 7919 % 11 <> 0) a
+  FULL JOIN (SELECT CAST(event_id AS VARCHAR) AS k, CASE WHEN event_id % 7 = 0 THEN 'x' ELSE event_type END AS v FROM events WHERE event_id * 104729 % 13 <> 0) b ON a.k = b.k WHERE a.v IS DISTINCT FROM b.v""")
 def header_differences(spark, sf_dir):
+    """Two versions of all events: each lacks some keys that the other has, and the second has other values."""
     e, k = rel.table(spark, sf_dir, "events"), F.col("event_id")
-    a = e.filter(k < 500).select(k.cast("string").alias("k"), F.col("event_type").alias("v"))
-    b = e.filter(k.between(100, 599)).select(k.cast("string").alias("k"), F.when(k % 7 == 0, "x").otherwise(F.col("event_type")).alias("v"))
+    a = e.filter(k * 7919 % 11 != 0).select(k.cast("string").alias("k"), F.col("event_type").alias("v"))
+    b = e.filter(k * 104729 % 13 != 0).select(k.cast("string").alias("k"), F.when(k % 7 == 0, "x").otherwise(F.col("event_type")).alias("v"))
     return summary.differences(a, b)

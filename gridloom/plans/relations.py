@@ -79,10 +79,10 @@ BANDS = """bands AS (
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tile_id and data: a document's bytes as a tile; gaps in the ids, and neighbours with the same bytes."""
     d = table(spark, sf_dir, "documents")
-    text = F.when(F.col("doc_id") % 10 < 4, F.concat(F.lit("tile "), F.floor(F.col("doc_id") / 10).cast("string"))).otherwise(F.substring("text", 1, 64))
+    text = F.when(F.col("doc_id") % 10 < 4, F.concat(F.lit("tile "), F.floor(F.col("doc_id") / 10).cast("string"))).otherwise(F.col("text"))
     return d.select((F.col("doc_id") + F.floor(F.col("doc_id") / 50) * 3).alias("tile_id"), text.cast("binary").alias("data"))
 
 
 PAYLOADS = """payloads AS (
   SELECT doc_id + doc_id // 50 * 3 AS tile_id,
-    encode(CASE WHEN doc_id % 10 < 4 THEN 'tile ' || CAST(doc_id // 10 AS VARCHAR) ELSE substr(text, 1, 64) END) AS data FROM documents)"""
+    encode(CASE WHEN doc_id % 10 < 4 THEN 'tile ' || CAST(doc_id // 10 AS VARCHAR) ELSE text END) AS data FROM documents)"""

@@ -96,3 +96,38 @@ def test_stream(spark, tmp_path):
     for _ in range(2):
         streaming.describe_batches(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 1
+
+
+def test_xml_items(spark):
+    from gridloom.functions import text
+
+    xml = '<GDALMetadata><Item name="x"></Item><Item name="y" sample="2" role="scale">7</Item><Item name="e"/>\n<Item name="z">8 &amp; 9</Item></GDALMetadata>'
+    got = spark.createDataFrame([(xml,), ("<GDALMetadata/>",)], "xml string").select(text.xml_items(F.col("xml")).alias("i")).collect()
+    assert [tuple(i) for i in got[0].i] == [("x", None, ""), ("y", 2, "7"), ("e", None, ""), ("z", None, "8 & 9")] and got[1].i == []
+
+
+def test_overlap_join_of_all_sizes(spark):
+    """Boxes from a point to the whole box against each other; no nested loop in the plan."""
+    import random
+
+    from gridloom.operators import mosaic
+
+    r = random.Random(5)
+
+    def boxes(n, first):
+        out = []
+        for i in range(n):
+            w, h = (r.choice((0, 0.1, 3, 40, 100)) * r.random() for _ in range(2))
+            x, y = r.uniform(-60, 100), r.uniform(-40, 60)
+            out.append((first + i, x, y, x + w, y + h))
+        return out
+
+    t, s = boxes(120, 0), boxes(90, 1000)
+    tiles = spark.createDataFrame(t, "tile long, min_x double, min_y double, max_x double, max_y double")
+    sources = spark.createDataFrame(s, "source_id long, min_x double, min_y double, max_x double, max_y double")
+    for levels in (0, 3, 12):
+        got = mosaic.overlap_join(tiles, sources, levels)
+        pairs = [(x.tile, x.source_id) for x in got.select("tile", "source_id").collect()]
+        assert sorted(pairs) == sorted((a[0], b[0]) for a in t for b in s if a[3] >= b[1] and a[1] <= b[3] and a[4] >= b[2] and a[2] <= b[4])
+        assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    assert mosaic.overlap_join(tiles, sources.limit(0)).count() == 0
