@@ -1,15 +1,20 @@
 """URL filter: rules by host and path, and character language models for the URLs that no rule decides.
 
-Two variable-order Markov models over the characters of host and path, one of accepted and one of rejected URLs, are
-learned from all URLs that a rule decides, but for a fifth that is held back. Counts of every context of up to `order`
-characters are summed over the whole table; a context stays if it occurs often enough, `1 / contexts` of all characters
-at least, so at most `contexts` of each length can stay and the broadcast model is bounded. Probabilities interpolate
+Two variable-order Markov models over the bytes of host and path, one of accepted and one of rejected URLs, are learned
+from all URLs that a rule decides, but for a fifth that is held back. Every context of up to `order` bytes is kept with
+all of its counts, however many there are: the models are a table that grows with the URLs. Probabilities interpolate
 from short contexts to long (Witten-Bell). The score is the difference of log-likelihoods a character; the held-back
 URLs give a histogram of scores for either class, and the threshold that separates them best decides.
 
-Edge cases: a null URL, or one without "://", has an empty host and path and scores 0; ties between rules can't occur
-between different rules of equal length for one URL, as both their host and path parts would be equal; without any URL
-for one of the classes all other URLs are allowed; repeated rows are judged each; an empty table gives no rows.
+A URL's score is a mean of gains, and a gain depends on a character and the `order` before it only. So URLs are dealt into
+chunks, a chunk names its distinct codes (context and character), and each distinct code's gain is computed once, where the
+counts of its last two context bytes lie; all longer contexts lie there too. Contexts of no byte and of one, 258^2 codes at most,
+are broadcast. Gains then go back to the chunks that named them. Nothing else leaves the executors but histograms.
+
+Edge cases: a null URL, or one without "://", has an empty host and path, scores 0 and is allowed, as nothing in it can be
+judged; ties between rules can't occur between different rules of equal length for one URL, as both their host and path
+parts would be equal; without any URL for one of the classes all other URLs score 0 and are allowed; repeated rows are
+judged each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,10 +34,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
 
+#: Symbols: bytes, the end, and what stands before the beginning.
+END, BEFORE, SYMBOLS = 256, 257, 258
+
+
 @dataclass(frozen=True)
 class Markov:
     order: int = 4
-    contexts: int = 1 << 14
+    chunk: int = 1 << 14  # URLs
     bins: int = 400
     reach: float = 4.0
     hold: int = 5
@@ -58,32 +67,28 @@ def ruled(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataF
 
 
 def symbols(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of all characters that are predicted (0..63: bytes folded, 0 for the end), the codes of their contexts for
-    each length, and the text of each."""
+    """All symbols that are predicted (bytes, and the end of each text), the codes of their contexts for each length (the
+    nearest symbol is the lowest digit), and the text of each."""
     raw, at = common.utf8(texts)
-    n = len(at) - 1
-    size = np.diff(at)
-    fold = np.zeros(256, np.int64)
-    for b in range(256):
-        fold[b] = 1 + (b - 97 if 97 <= b <= 122 else 26 + b - 48 if 48 <= b <= 57 else 36 + (b % 26))
+    n, size = len(at) - 1, np.diff(at)
     text = np.repeat(np.arange(n), size + 1)
-    stream = np.zeros(len(raw) + n, np.int64)
+    stream = np.full(len(raw) + n, END, np.int64)
     ends = np.cumsum(size + 1) - 1
     is_end = np.zeros(len(stream), bool)
     is_end[ends] = True
-    stream[~is_end] = fold[raw]
+    stream[~is_end] = raw
     place = np.arange(len(stream)) - np.repeat(ends - size, size + 1)
     contexts = np.zeros((order + 1, len(stream)), np.int64)
     for k in range(1, order + 1):
-        back = np.full(len(stream), 63)
-        back[k:] = stream[:-k] if k <= len(stream) else 0
-        back[place < k] = 63  # before the beginning
-        contexts[k] = contexts[k - 1] + back * 64 ** (k - 1)
+        back = np.full(len(stream), BEFORE)
+        back[k:] = stream[:-k] if k <= len(stream) else BEFORE
+        back[place < k] = BEFORE
+        contexts[k] = contexts[k - 1] + back * SYMBOLS ** (k - 1)
     return stream, contexts, text
 
 
 def count(decided: DataFrame, m: Markov) -> DataFrame:
-    """decided (class), k (length of context), code (context * 64 + character), n; summed over all rows."""
+    """decided (class), k (length of context), code (context * SYMBOLS + character), n; summed over all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
@@ -93,7 +98,7 @@ def count(decided: DataFrame, m: Markov) -> DataFrame:
             for c in ("allow", "block"):
                 mine = (kind == c)[text] if len(text) else np.zeros(0, bool)
                 for k in range(m.order + 1):
-                    codes, n = np.unique(contexts[k][mine] * 64 + stream[mine], return_counts=True)
+                    codes, n = np.unique(contexts[k][mine] * SYMBOLS + stream[mine], return_counts=True)
                     old = total.get((c, k))
                     if old is not None:
                         codes, inverse = np.unique(np.concatenate([old[0], codes]), return_inverse=True)
@@ -115,56 +120,119 @@ class Model:
         self.order, self.tables = order, []
         for k in range(order + 1):
             code, n = rows.get(k, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
-            context, at = np.unique(code // 64, return_index=True)
+            context, at = np.unique(code // SYMBOLS, return_index=True)
             total = np.add.reduceat(n, at) if len(n) else n
             kinds = np.diff(np.append(at, len(code)))
             self.tables.append((code, n.astype(float), context, total.astype(float), kinds.astype(float)))
 
     def log_probability(self, stream: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-        p = np.full(len(stream), 1 / 64)
+        p = np.full(len(stream), 1 / SYMBOLS)
         for k, (code, n, context, total, kinds) in enumerate(self.tables):
             if not len(code):
                 continue
             i = np.minimum(np.searchsorted(context, contexts[k]), len(context) - 1)
             known = context[i] == contexts[k]
-            whole = contexts[k] * 64 + stream
+            whole = contexts[k] * SYMBOLS + stream
             j = np.minimum(np.searchsorted(code, whole), len(code) - 1)
             seen = np.where(code[j] == whole, n[j], 0.0)
             p = np.where(known, (seen + kinds[i] * p) / (total[i] + kinds[i]), p)
         return np.log(p)
 
 
-def fit(counts: DataFrame, m: Markov) -> dict[str, Model]:
-    """Keeps the contexts that hold 1 / contexts of their class's characters at least, and so at most `contexts` of each length."""
-    context = counts.groupBy("decided", "k", F.floor(F.col("code") / 64).alias("context")).agg(F.sum("n").alias("total"))
-    size = dict(counts.filter("k = 0").groupBy("decided").agg(F.sum("n")).collect())
-    if not size:
-        return {}
-    least = F.lit(0.0)
-    for c, n in size.items():
-        least = F.when(F.col("decided") == c, F.lit(max(1.0, n / m.contexts))).otherwise(least)
-    frequent = context.filter(F.col("total") >= least).select("decided", "k", "context")
-    kept = counts.withColumn("context", F.floor(F.col("code") / 64)).join(frequent, ["decided", "k", "context"], "left_semi").select("decided", "k", "code", "n").toArrow()
-    out = {}
-    kinds, k, code, n = np.array(kept.column(0).to_pylist()), *(kept.column(i).to_numpy() for i in (1, 2, 3))
-    for c in size:
+CLASSES = ("allow", "block")
+
+
+def tables(kind: np.ndarray, k: np.ndarray, code: np.ndarray, n: np.ndarray, order: int) -> list[dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """For each class the sorted codes of each length and their counts."""
+    out = []
+    for c in range(len(CLASSES)):
         rows = {}
-        for i in range(m.order + 1):
-            mine = np.flatnonzero((kinds == c) & (k == i))
-            order = mine[np.argsort(code[mine])]
-            rows[i] = code[order], n[order]
-        out[c] = Model(rows, m.order)
+        for i in range(order + 1):
+            mine = np.flatnonzero((kind == c) & (k == i))
+            mine = mine[np.argsort(code[mine])]
+            if len(mine):
+                rows[i] = code[mine], n[mine]
+        out.append(rows)
     return out
 
 
-def ratios(texts: pa.Array, models: dict[str, Model], order: int) -> np.ndarray:
-    """Log-likelihood under the accepted less that under the rejected URLs, a character."""
-    n = len(texts)
-    if len(models) < 2:
-        return np.zeros(n)
+def named_codes(urls: DataFrame, m: Markov) -> DataFrame:
+    """chunk, code: the distinct codes of each chunk's URLs (text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, np.zeros(0, np.int64)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lo in range(0, len(held), 1 << 16):
+                part = held[lo : lo + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), now, np.int64)), pa.array(part)], ["chunk", "code"])
+
+        for batch in batches:
+            chunks = batch.column("chunk").to_numpy()
+            stream, contexts, text = symbols(batch.column("text"), m.order)
+            code = contexts[m.order] * SYMBOLS + stream
+            for c in dict.fromkeys(chunks.tolist()):
+                if c != now:
+                    yield from flush()
+                    now, held = c, np.zeros(0, np.int64)
+                held = np.union1d(held, code[(chunks == c)[text]])
+        yield from flush()
+
+    return urls.select("chunk", "text").mapInArrow(run, "chunk long, code long")
+
+
+def gains(counts: DataFrame, codes: DataFrame, m: Markov) -> DataFrame:
+    """code, gain: log-likelihood of a code's character under the accepted less that under the rejected URLs."""
+    spark = counts.sparkSession
+    kind = F.when(F.col("decided") == CLASSES[0], 0).otherwise(1)
+    counts = counts.select(kind.alias("kind"), "k", "code", "n")
+    low = counts.filter("k < 2").toArrow()  # 2 * (258 + 258^2) rows at most
+    low_rows = spark.sparkContext.broadcast(tuple(low.column(c).to_numpy() for c in ("kind", "k", "code", "n")))
+    near = F.floor(F.col("code") / SYMBOLS) % SYMBOLS**2  # the last two symbols of the context
+    asked = codes.select(F.lit(-1).alias("kind"), F.lit(m.order).alias("k"), "code", F.lit(0).cast("long").alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[batch.column(c).to_numpy() for c in ("kind", "k", "code", "n")] for batch in batches]
+        if not parts:
+            return
+        kind, k, code, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        ask = code[kind < 0]
+        if not len(ask):
+            return
+        both = [np.concatenate(x) for x in zip(low_rows.value, (kind, k, code, n), strict=True)]
+        models = [Model(rows, m.order) for rows in tables(*both, m.order)]
+        contexts = np.stack([ask // SYMBOLS % SYMBOLS**i for i in range(m.order + 1)])
+        gain = models[0].log_probability(ask % SYMBOLS, contexts) - models[1].log_probability(ask % SYMBOLS, contexts)
+        for lo in range(0, len(ask), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(ask[lo : lo + (1 << 16)]), pa.array(gain[lo : lo + (1 << 16)])], ["code", "gain"])
+
+    dealt = counts.filter("k >= 2").unionByName(asked).repartition(common.partitions(spark), near)
+    return dealt.mapInArrow(run, "code long, gain double")
+
+
+def mean_gains(texts: pa.Array, code: np.ndarray, gain: np.ndarray, order: int) -> np.ndarray:
+    """The mean gain of each text's characters; code is sorted and holds all of them."""
     stream, contexts, text = symbols(texts, order)
-    gain = models["allow"].log_probability(stream, contexts) - models["block"].log_probability(stream, contexts)
-    return np.bincount(text, gain, n) / np.maximum(1, np.bincount(text, minlength=n))
+    own = gain[np.searchsorted(code, contexts[order] * SYMBOLS + stream)]
+    return np.bincount(text, own, len(texts)) / np.maximum(1, np.bincount(text, minlength=len(texts)))
+
+
+def scored(urls: DataFrame, counts: DataFrame, m: Markov, work: common.Workspace) -> DataFrame:
+    """urls (chunk, row, text, ...) with score."""
+    codes = work.keep(named_codes(urls, m), "codes")
+    known = codes.join(gains(counts, codes.select("code").distinct(), m), "code")
+    names = [c for c in urls.columns if c != "text"]
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in urls.schema if f.name in names)
+
+    def run(own: pa.Table, found: pa.Table) -> pa.Table:
+        code, gain = found.column("code").to_numpy(), found.column("gain").to_numpy()
+        code, at = np.unique(code, return_index=True)  # a chunk read by two tasks names a code twice
+        own = own.combine_chunks()
+        texts = own.column("text").combine_chunks()
+        score = mean_gains(texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts, code, gain[at], m.order)
+        return own.select(names).append_column("score", pa.array(score))
+
+    return urls.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(run, f"{kind}, score double")
 
 
 def threshold(histogram: list[tuple[str, int, int]], m: Markov) -> float:
@@ -186,25 +254,21 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, m: Marko
     spark = pages.sparkSession
     work = common.Workspace(spark, "urls")
     judged = ruled(pages.select("page_id", "url"), rules).withColumn("text", F.when((F.col("host") == "") & (F.col("path") == ""), F.lit("")).otherwise(F.concat("host", "path")))
-    learned = judged.filter(F.col("decided").isNotNull()).withColumn("held", F.pmod(F.xxhash64("url"), F.lit(m.hold)) == 0)
-    counts = work.keep(count(learned.filter(~F.col("held")).select("decided", "text"), m), "counts")
-    models = spark.sparkContext.broadcast(fit(counts, m))
-    work.drop("counts")
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = ratios(batch.column("text"), models.value, m.order)
-            names = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(got)], [*names, "score"])
-
-    tried = learned.filter("held").select("decided", "text").mapInArrow(score, "decided string, score double")
+    judged = judged.withColumn("held", F.col("decided").isNotNull() & (F.pmod(F.xxhash64("url"), F.lit(m.hold)) == 0)).withColumn("chunk", F.floor(F.monotonically_increasing_id() / m.chunk))
+    judged = work.keep(judged.select("page_id", "host", "path", "rule", "decided", "held", "chunk", "text"), "judged")
+    counts = work.keep(count(judged.filter("decided is not null and not held").select("decided", "text"), m), "counts")
+    asked = judged.filter((F.col("decided").isNull() & (F.col("text") != "")) | F.col("held"))
+    if counts.select("decided").distinct().count() == len(CLASSES):
+        tried = work.keep(scored(asked, counts, m, work), "scored")
+    else:
+        tried = asked.drop("text").withColumn("score", F.lit(0.0))
     place = F.greatest(F.lit(0), F.least(F.lit(m.bins - 1), F.floor((F.col("score") + m.reach) / (2 * m.reach) * m.bins))).cast("int")
-    cut = threshold([tuple(r) for r in tried.groupBy("decided", place.alias("bin")).agg(F.count("*").alias("n")).collect()], m)
-    own = judged.select("page_id", "host", "path", "rule", "decided", F.when(F.col("decided").isNull(), F.col("text")).otherwise("").alias("text"))
-    scored = own.mapInArrow(score, "page_id long, host string, path string, rule string, decided string, score double")
-    verdict = F.coalesce("decided", F.when(F.col("score") >= cut, "allow").otherwise("block"))
-    empty = (F.col("host") == "") & (F.col("path") == "")
-    return scored.select("page_id", "host", "path", "rule", F.when(empty & F.col("decided").isNull(), "allow").otherwise(verdict).alias("verdict"), F.when(F.col("decided").isNull(), F.col("score")).alias("score"))
+    cut = threshold([tuple(r) for r in tried.filter("held").groupBy("decided", place.alias("bin")).agg(F.count("*").alias("n")).collect()], m)
+    work.drop("counts", "codes")
+    by_model = tried.filter("decided is null").select("page_id", "host", "path", "rule", F.when(F.col("score") >= cut, "allow").otherwise("block").alias("verdict"), "score")
+    by_rule = judged.filter("decided is not null").select("page_id", "host", "path", "rule", F.col("decided").alias("verdict"), F.lit(None).cast("double").alias("score"))
+    empty = judged.filter("decided is null and text = ''").select("page_id", "host", "path", "rule", F.lit("allow").alias("verdict"), F.lit(0.0).alias("score"))
+    return by_model.unionByName(by_rule).unionByName(empty)
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,14 @@
 import base64
+import math
 import random
 import re
 from collections import Counter
 
+import numpy as np
+import pytest
 import zstandard
 from corpus_texts import prose
+from pyspark.sql import functions as F
 
 from gridloom.llm import quality_classifier, quality_rules, url_filter
 from gridloom.llm.quality_rules import Bands
@@ -12,6 +16,19 @@ from gridloom.llm.quality_rules import Bands
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+def in_bands(raw, bands=Bands()):
+    """The bands written out again: the whole by its length; chunks from 4096 bytes on, the last one up to the end."""
+    pack = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
+
+    def ratio(part):
+        return len(pack.compress(part)) / max(1, len(part))
+
+    low, high = [x[1:] for x in bands.whole if len(raw) >= x[0]][-1]
+    limits = bands.chunk if len(raw) >= 8192 else (low, high)
+    chunks = [raw[i : i + 4096] for i in range(0, len(raw) - 4095, 4096)] + ([raw[-4096:]] if len(raw) >= 4096 else [])
+    return low <= ratio(raw) <= high and all(limits[0] <= ratio(c) <= limits[1] for c in chunks)
+
+
 def plain(text):
     text = text or ""
     w = WORD.findall(text)
@@ -20,8 +37,7 @@ def plain(text):
     hit = {j for i, g in enumerate(grams) if often[g] > 1 for j in range(i, i + 5)}
     lines = [x for x in text.split("\n") if WORD.search(x)]
     failed = len(w) < 10 or 100 * len(hit) > 20 * len(w)
-    pack = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
-    kept = not failed and quality_rules.verdict(text.encode(), Bands(), pack)[0]
+    kept = not failed and in_bands(text.encode())
     return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(hit), failed, kept)
 
 
@@ -50,6 +66,18 @@ def test_repetition_and_noise_fail():
     assert not quality_rules.verdict(bytes(r.randrange(33, 127) for _ in range(9000)), Bands(), pack)[0]
 
 
+def test_votes_equal_a_sort_of_all_cosines():
+    r = np.random.default_rng(3)
+    v = quality_classifier.Voting(rank=6, neighbours=7, block=16)
+    x, labels = r.random((90, 40)).astype(np.float32), (r.random(90) < 0.4).astype(float)
+    space, asked = quality_classifier.Space(x, labels, v), r.random((25, 40)).astype(np.float32)
+    cosines = space.project(asked).astype(float) @ space.known.astype(float).T
+    for i, got in enumerate(space.score(asked, v)):
+        near = sorted(range(90), key=lambda j: -cosines[i, j])[:7]
+        weights = [math.exp(v.sharpness * (cosines[i, j] - cosines[i, near[0]])) for j in near]
+        assert got == pytest.approx(sum(w * labels[j] for w, j in zip(weights, near, strict=True)) / sum(weights), abs=1e-4)
+
+
 def test_classifier_votes(spark, frame, odd_texts):
     texts = [prose(i, 80) for i in range(120)] + [prose(i, 80).replace(" ", "*** ").upper() for i in range(120)]
     df = frame(texts + odd_texts)
@@ -117,19 +145,57 @@ def test_url_models_tell_hosts_apart(spark):
     assert got[900].verdict == "allow" and got[901].verdict == "block" and got[900].score > got[901].score
 
 
-def test_probabilities_sum_to_one():
-    import numpy as np
-    import pyarrow as pa
-
-    stream, contexts, text = url_filter.symbols(pa.array(["abc/x", "abd", "", "b1"]), 2)
-    rows = {}
-    for k in range(3):
-        code, n = np.unique(contexts[k] * 64 + stream, return_counts=True)
-        rows[k] = code, n
-    model = url_filter.Model(rows, 2)
-    every = np.arange(64)
-    some = np.repeat(contexts[:, 2:3], 64, axis=1)
-    assert abs(np.exp(model.log_probability(every, some)).sum() - 1) < 1e-9
+class PlainModel:
+    """Witten-Bell over dictionaries, character by character."""
+
+    def __init__(self, texts, order):
+        self.order, self.seen = order, {}
+        for t in texts:
+            for context, c in self.steps(t):
+                for k in range(order + 1):
+                    here = self.seen.setdefault(context[len(context) - k :], Counter())
+                    here[c] += 1
+
+    def steps(self, text):
+        s = [257] * self.order + list(text.encode()) + [256]
+        return [(tuple(s[i - self.order : i]), s[i]) for i in range(self.order, len(s))]
+
+    def log(self, text):
+        out = []
+        for context, c in self.steps(text):
+            p = 1 / 258
+            for k in range(self.order + 1):
+                here = self.seen.get(context[len(context) - k :])
+                if here:
+                    p = (here[c] + len(here) * p) / (sum(here.values()) + len(here))
+            out.append(math.log(p))
+        return sum(out) / len(out)
+
+
+@pytest.mark.parametrize("chunk", [7, 1 << 14])
+def test_scores_equal_brute_force(spark, chunk):
+    """Scores of all URLs without a rule against plain dictionaries, and the share of held-back URLs judged rightly."""
+    r = random.Random(8)
+    slug = lambda: "".join(r.choice("abcdeé-/%7") for _ in range(r.randint(0, 12)))
+    urls = [f"https://{r.choice(('lib', 'med', 'x'))}{r.randrange(9)}.{r.choice(('org', 'net', 'com', 'info'))}/{r.choice(('fr', 'en', 'de'))}/{slug()}" for _ in range(500)]
+    urls += [None, "none", "z://", "a://b\x00c/" + "long/" * 400]
+    pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, text string")
+    m = url_filter.Markov(chunk=chunk)
+    got = {x.page_id: x for x in url_filter.judge(pages, m=m).collect()}
+    held = {x.page_id for x in pages.filter(F.pmod(F.xxhash64("url"), F.lit(m.hold)) == 0).collect()}
+    text = {i: "".join(split(u)) for i, u in enumerate(urls)}
+    decided = {i: rule(*split(u))[1] for i, u in enumerate(urls)}
+    models = [PlainModel([text[i] for i in text if decided[i] == c and i not in held], m.order) for c in ("allow", "block")]
+    asked = [i for i in text if not decided[i] and text[i]]
+    assert len(got) == len(urls) and len(asked) > 100 and all(got[i].score is None for i in text if decided[i])
+    want = {i: models[0].log(text[i]) - models[1].log(text[i]) for i in text}
+    assert all(got[i].score == pytest.approx(want[i], abs=1e-9) for i in asked)
+    assert all((got[i].score, got[i].verdict) == (0.0, "allow") for i in (500, 501, 502))
+    # the threshold lies between the scores that it allows and those that it blocks, and tells the held-back URLs apart
+    allowed, blocked = ([want[i] for i in asked if got[i].verdict == v] for v in ("allow", "block"))
+    cut = (min(allowed) + max(blocked)) / 2
+    right = [(want[i] >= cut) == (decided[i] == "allow") for i in held if decided[i]]
+    assert min(allowed) > max(blocked) and sum(right) >= 0.9 * len(right) and len(right) > 20
 
 
 def test_noise_at_the_end_fails_as_at_the_start():
