@@ -105,9 +105,14 @@ def assign(cut: DataFrame, shape: Shape = Shape()) -> DataFrame:
 
 
 def pack(documents: DataFrame, path: str, shape: Shape = Shape(), with_ids: bool = False) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens[, ids], sequence_id, offset."""
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens[, ids], sequence_id, offset. The ids (little-endian u32)
+    join the placed pieces at the end, by the piece's number, so that only one shuffle carries them."""
     work = common.Workspace(documents.sparkSession, "packing")
-    return assign(work.keep(pieces(documents, path, shape, with_ids), "pieces"), shape)
+    if not with_ids:
+        return assign(work.keep(pieces(documents, path, shape), "pieces"), shape)
+    cut = work.keep(pieces(documents, path, shape, True).withColumn("piece", F.monotonically_increasing_id()), "pieces")
+    placed = assign(cut.drop("ids"), shape)
+    return placed.join(cut.select("piece", "ids"), "piece").select(*(c.split()[0] for c in PIECE.split(", ")), "ids", "sequence_id", "offset")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

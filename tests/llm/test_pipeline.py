@@ -18,6 +18,25 @@ def test_stages(spark):
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
 
 
+def test_run_gives_whole_sequences(spark):
+    """run() itself: its pieces hold the ids, gapless in their sequences, and whole documents come out of them."""
+    import zlib
+    from collections import defaultdict
+
+    rows = corpus_pipeline.run(spark, SF).collect()
+    assert rows and all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in rows)
+    sequences, documents = defaultdict(list), defaultdict(list)
+    for r in rows:
+        sequences[r.sequence_id].append((r.offset, r.length))
+        documents[r.doc_id].append((r.start, r.length, r.doc_tokens))
+    for pieces in sequences.values():
+        pieces.sort()
+        assert [o for o, _ in pieces] == [sum(n for _, n in pieces[:i]) for i in range(len(pieces))] and sum(n for _, n in pieces) <= 2048
+    for pieces in documents.values():
+        pieces.sort()
+        assert [s for s, _, _ in pieces] == [sum(n for _, n, _ in pieces[:i]) for i in range(len(pieces))] and sum(n for _, n, _ in pieces) == pieces[0][2]
+
+
 def test_every_query_is_named():
     names = list(queries.queries())
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
