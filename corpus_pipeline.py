@@ -28,8 +28,8 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents, with their sequence and place in it."""
-    return packing.pack(docs, tokens.byte_bpe_path())
+    """Pieces of documents with their ids, and their sequence and place in it."""
+    return packing.pack(docs, tokens.byte_bpe_path(), with_ids=True)
 
 
 STAGES = [("quality_rules", rules), ("quality_classifier", classifier), ("jaccard_join", near_copies), ("substring_dedup", passages), ("packing", sequences)]
