@@ -131,3 +131,30 @@ def test_overlap_join_of_all_sizes(spark):
         assert sorted(pairs) == sorted((a[0], b[0]) for a in t for b in s if a[3] >= b[1] and a[1] <= b[3] and a[4] >= b[2] and a[2] <= b[4])
         assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
     assert mosaic.overlap_join(tiles, sources.limit(0)).count() == 0
+
+
+def test_coverage_gaps_equal_a_plain_flood(spark):
+    """All sources of the small table, cells at their production size, against a flood cell by cell."""
+    from gridloom.plans import queries, relations
+
+    sf = "/root/testdata/sf0.01"
+    boxes = [(r.min_x, r.min_y, r.max_x, r.max_y) for r in relations.sources(spark, sf).collect()]
+    x0, y0, x1, y1 = min(b[0] for b in boxes), min(b[1] for b in boxes), max(b[2] for b in boxes), max(b[3] for b in boxes)
+    nx = math.ceil((x1 - x0) / (sum(b[2] - b[0] for b in boxes) / len(boxes) / 2))
+    ny = math.ceil((y1 - y0) / (sum(b[3] - b[1] for b in boxes) / len(boxes) / 2))
+    w, h = (x1 - x0) / nx, (y1 - y0) / ny
+    assert nx > 50 and ny > 20
+    free = {(i, j) for i in range(nx) for j in range(ny) if not any(b[0] <= x0 + (i + 0.5) * w <= b[2] and b[1] <= y0 + (j + 0.5) * h <= b[3] for b in boxes)}
+    want = []
+    while free:
+        hole, edge = set(), [free.pop()]
+        while edge:
+            i, j = edge.pop()
+            hole.add((i, j))
+            near = {(i + 1, j), (i - 1, j), (i, j + 1), (i, j - 1)} & free
+            free -= near
+            edge += near
+        xs, ys = [c[0] for c in hole], [c[1] for c in hole]
+        want.append((round(x0 + min(xs) * w, 4), round(y0 + min(ys) * h, 4), round(x0 + (max(xs) + 1) * w, 4), round(y0 + (max(ys) + 1) * h, 4), len(hole)))
+    got = [(*(round(v, 4) for v in r[:4]), r[4]) for r in queries.coverage_gaps(spark, sf).collect()]
+    assert sorted(got) == sorted(want)
