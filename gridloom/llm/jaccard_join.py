@@ -243,10 +243,12 @@ def describe(documents: DataFrame, j: Join) -> DataFrame:
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
-    """0 for buckets of the sketch with an ordinary load, more for those with frequent shingles."""
+    """The place of each bucket of the sketch in the order of shingles, rare first: 128 steps up to a load that chance explains, 4 for each
+    doubling beyond. Even where the load is mostly chance, a shingle of some ten documents seldom lies among the first."""
     mean = float(counts.mean())
     ordinary = mean + 4 * np.sqrt(mean) + 6
-    return np.where(counts <= ordinary, 0, 1 + np.log2(np.maximum(1, counts / ordinary))).astype(np.uint8)
+    over = np.log2(np.maximum(1, counts / ordinary))
+    return np.where(counts <= ordinary, 127 * (counts / ordinary), 128 + np.minimum(127, 4 * over)).astype(np.uint8)
 
 
 # ---- 2: first components
