@@ -15,7 +15,9 @@ union of its sets, with a bit for each member.
    component. Shingles meet by hash ranges; two groups of different components that share one are a pair, if sizes and
    places in the prefixes allow the similarity. The prefix is no longer than that: in a longer one, texts that have most
    of a template in common, but too little to link, would all meet in the template's shingles.
-4. A third pass builds the matrices of groups that are left, from texts that a bit filter lets through, and joins them:
+4. Each set has a bitmap of one to two bits a shingle; a member's bits that the other group's union lacks bound its overlap
+   from above. Pairs of groups in which no member of either side can reach what it needs end here, before any set travels.
+   A third pass builds the matrices of groups that are left, from texts that a bit filter lets through, and joins them:
    a member stays in play while its overlap with the other group's union reaches t times its size; for those that
    stay, one product of bit matrices gives every overlap exactly. Each pair of groups sends on a spanning forest of
    its links only.
@@ -107,6 +109,15 @@ def minhashes(s: np.ndarray, j: Join) -> list[int]:
     return signed(np.array([s[0], *((s * U(f)).min() for f in FACTORS[: j.hashes - 1])])).tolist()
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """Bits of the shingles by their low bits: the least power of two that isn't below the set's size, 64 at least."""
+    size = max(64, 1 << (len(s) - 1).bit_length())
+    bits = np.zeros(size // 8, np.uint8)
+    place = (s & U(size - 1)).astype(np.int64)
+    np.bitwise_or.at(bits, place >> 3, (1 << (place & 7)).astype(np.uint8))
+    return bits.tobytes()
+
+
 def short(keys: list[bytes]) -> np.ndarray:
     """The number of a class outside first components: the first 8 bytes of its key."""
     return np.frombuffer(b"".join(k[:8] for k in keys), ">i8").astype(np.int64)
@@ -204,8 +215,8 @@ def add_counts(rows: DataFrame, size: int) -> np.ndarray:
 
 
 def describe(documents: DataFrame, j: Join) -> DataFrame:
-    """Per document: doc_id, n_shingles, key (null for an empty set), minhashes; and each task's part of the sketch."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("minhashes", pa.list_(pa.int64())), ("part", pa.int32()), ("counts", pa.binary())])
+    """Per document: doc_id, n_shingles, key (null for an empty set), minhashes, and the bitmap, once a class and task; and each task's part of the sketch."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("minhashes", pa.list_(pa.int64())), ("bits", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen, waiting, held = np.zeros(1 << j.sketch_bits, np.int64), set(), [], 0
@@ -217,9 +228,10 @@ def describe(documents: DataFrame, j: Join) -> DataFrame:
             waiting, held = [], 0
 
         for batch in batches:
-            n, key, low = [], [], []
+            n, key, low, bits = [], [], [], []
             for _, s in each_set(batch, j.words):
                 n.append(len(s))
+                bits.append(None)
                 if not len(s):
                     key.append(None)
                     low.append(None)
@@ -228,18 +240,19 @@ def describe(documents: DataFrame, j: Join) -> DataFrame:
                 low.append(minhashes(s, j))
                 if key[-1] not in seen:
                     seen.add(key[-1])
+                    bits[-1] = bitmap(s)
                     waiting.append((s >> U(64 - j.sketch_bits)).astype(np.uint32))
                     held += len(s)
                     if held > 1 << 20:
                         settle()
             size = len(n)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(low, pa.list_(pa.int64())), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(low, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], schema=schema)
         settle()
         parts, blobs = pack_counts(total)
         size = len(parts)
-        yield pa.RecordBatch.from_arrays([pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.binary()), pa.nulls(size, pa.list_(pa.int64())), pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.binary()), pa.nulls(size, pa.list_(pa.int64())), pa.nulls(size, pa.binary()), pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], schema=schema)
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id long, n_shingles long, key binary, minhashes array<long>, {COUNTS}")
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id long, n_shingles long, key binary, minhashes array<long>, bits binary, {COUNTS}")
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -462,7 +475,43 @@ def group_pairs(packed: DataFrame, j: Join, buckets: int) -> DataFrame:
     return packed.repartitionById(buckets, "bucket").mapInArrow(run, "a long, b long").distinct()
 
 
-# ---- 4: matrices
+# ---- 4: bounds, matrices
+
+
+def folded_bits(bits: np.ndarray, size: int) -> np.ndarray:
+    """The bitmap at a smaller size (bytes, a power of two)."""
+    return np.bitwise_or.reduce(bits.reshape(-1, size), axis=0)
+
+
+def may_link(left: list, right: list, j: Join) -> bool:
+    """Whether a member of each side (n, bits) may have the overlap it needs with one of the other side, as far as the bitmaps tell."""
+    for own, other in ((left, right), (right, left)):
+        size = min(len(m["bits"]) for m in other)
+        union = np.bitwise_or.reduce([folded_bits(np.frombuffer(m["bits"], np.uint8), size) for m in other], axis=0)
+        least = min(m["n"] for m in other)
+        for m in own:
+            n, bits = m["n"], np.frombuffer(m["bits"], np.uint8)
+            small = min(size, len(bits))
+            missing = folded_bits(bits, small) & ~folded_bits(union, small)
+            if n - int(np.bitwise_count(missing).sum()) >= j.overlap(n, max(least, -(-j.percent * n // 100))):
+                break
+        else:
+            return False
+    return True
+
+
+def within_bounds(pairs: DataFrame, bitmaps: DataFrame, j: Join) -> DataFrame:
+    """Pairs of groups that may hold a link. bitmaps: group, n, bits of each class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True)
+            yield batch.select(["a", "b"]).filter(pa.array([may_link(x, y, j) for x, y in sides], pa.bool_()))
+
+    whole = bitmaps.groupBy("group").agg(F.collect_list(F.struct("n", "bits")).alias("members"))
+    both = pairs.join(whole.select(F.col("group").alias("a"), F.col("members").alias("left")), "a").join(whole.select(F.col("group").alias("b"), F.col("members").alias("right")), "b")
+    return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+
 
 MATRIX = "group long, names binary, sizes binary, tokens binary, bits binary"
 NAME = 25  # bytes
@@ -615,10 +664,10 @@ def linked(documents: DataFrame, j: Join = Join()) -> DataFrame:
     spark = documents.sparkSession
     work = common.Workspace(spark, "jaccard")
     described = work.keep(describe(documents, j), "described")
-    docs = described.filter("part is null").select("doc_id", "n_shingles", "key", "minhashes")
+    docs = described.filter("part is null").select("doc_id", "n_shingles", "key", "minhashes", "bits")
     sketch = add_counts(described.filter("part is not null").select("part", "counts"), 1 << j.sketch_bits)
     level = spark.sparkContext.broadcast(levels(sketch))
-    classes = docs.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("minhashes").alias("minhashes"), F.count("*").alias("copies"))
+    classes = docs.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("minhashes").alias("minhashes"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("bits", True).alias("bits"))
     number = F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long")  # as short() has it
     classes = work.keep(classes.withColumn("name", named(F.col("doc_id"), F.col("key"))).withColumn("number", number), "classes")
 
@@ -653,22 +702,25 @@ def linked(documents: DataFrame, j: Join = Join()) -> DataFrame:
     split = common.attach(roots, sizes, ["root"], "weight", roots.count(), "inner")
     chunk = F.pmod(F.xxhash64("vertex"), F.ceil(F.col("n") / j.members).cast("long"))
     split = split.select(F.col("vertex").alias("name"), F.xxhash64("root").alias("component"), F.xxhash64("root", chunk).alias("group"))
-    grouped = classes.select("name", "key", "doc_id", "number").join(split, "name", "left")
-    grouped = work.keep(grouped.select("name", "key", "doc_id", F.coalesce("component", "number").alias("component"), F.coalesce("group", "number").alias("group")), "grouped")
+    grouped = classes.select("name", "key", "doc_id", "number", "n", "bits").join(split, "name", "left")
+    grouped = work.keep(grouped.select("name", "key", "doc_id", "n", "bits", F.coalesce("component", "number").alias("component"), F.coalesce("group", "number").alias("group")), "grouped")
     buckets = common.partitions(spark)
-    dealt = postings(documents, j, level, marks, buckets).unionByName(set_postings(sets.join(grouped, "name"), j, level, buckets))
-    pairs = work.keep(group_pairs(dealt, j, buckets), "pairs")
+    dealt = postings(documents, j, level, marks, buckets).unionByName(set_postings(sets.join(grouped.select("name", "component", "group"), "name"), j, level, buckets))
+    met = work.keep(group_pairs(dealt, j, buckets), "met")
+
+    # 4: bounds, matrices
+    def of(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("group")).unionByName(pairs.select(F.col("b").alias("group"))).distinct()
 
-    # 4: matrices
-    open_ = pairs.select(F.col("a").alias("group")).unionByName(pairs.select(F.col("b").alias("group"))).distinct()
-    opened = work.keep(grouped.join(open_, "group", "left_semi").select("name", "key", "doc_id", "group"), "opened")
+    pairs = work.keep(within_bounds(met, grouped.join(of(met), "group", "left_semi").select("group", "n", "bits"), j), "pairs")
+    opened = work.keep(grouped.join(of(pairs), "group", "left_semi").select("name", "key", "doc_id", "group"), "opened")
     built = work.keep(matrices(set_rows(documents, opened, j).join(opened.select("name", "group"), "name"), j), "matrices")
     links = roots.select(F.col("vertex").alias("a"), F.col("root").alias("b")).unionByName(links_between(pairs, built, j))
     roots = components(work.keep(links, "links"), work)
     found = classes.select("key", "name", "copies").join(roots.withColumnRenamed("vertex", "name"), "name", "left").select("key", "copies", smallest_id(F.coalesce("root", "name")).alias("component_id"))
     found = work.keep(found, "found")
     n = docs.count()
-    work.drop("pairs", "matrices", "links", "links0", "links1", "roots0", "roots1", "opened", "grouped", "classes", "chosen", "marked", "sets", *(f"groups{i}-{k}" for i in (0, 1) for k in ("rows", "sizes")))
+    work.drop("met", "pairs", "matrices", "links", "links0", "links1", "roots0", "roots1", "opened", "grouped", "classes", "chosen", "marked", "sets", *(f"groups{i}-{k}" for i in (0, 1) for k in ("rows", "sizes")))
     with_words = common.attach(docs.filter("key is not null").select("doc_id", "n_shingles", "key"), found, ["key"], "copies", n, "inner")
     without = docs.filter("key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return with_words.select("doc_id", "n_shingles", "component_id").unionByName(without)

@@ -82,6 +82,30 @@ def test_long_postings_lose_nothing():
     assert len(got) == len(set(map(tuple, got))) and set(map(tuple, got)) == {(x, y) for x in range(300) for y in range(x + 1, 300) if 100 * size[x] >= 80 * size[y]}
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_bitmaps_end_no_pair_that_links(percent):
+    r, j = np.random.default_rng(percent), jaccard_join.Join(percent=percent)
+    draw = lambda n: r.integers(0, 2**64, n, np.uint64)
+    ended = 0
+    for _ in range(600):
+        own, n = draw(int(r.integers(1, 700))), int(r.integers(1, 4))
+        sides = [[np.unique(np.concatenate([own[r.random(len(own)) < x], draw(int(r.integers(1, 60)))])) for _ in range(n)] for x in (1, r.choice([0.3, 0.9, 1]))]
+        links = any(100 * len(c := np.intersect1d(a, b)) >= percent * (len(a) + len(b) - len(c)) for a in sides[0] for b in sides[1])
+        may = jaccard_join.may_link(*([{"n": len(x), "bits": jaccard_join.bitmap(x)} for x in side] for side in sides), j)
+        assert may or not links
+        ended += not may
+    assert ended > 150
+
+
+def test_order_puts_frequent_shingles_last():
+    counts = np.random.default_rng(1).poisson(50, 1 << 16).astype(np.uint32)
+    counts[:100] += 30
+    counts[100:200] = 5000
+    level = jaccard_join.levels(counts).astype(int)
+    assert np.median(level[:100]) > np.quantile(level[200:], 0.95) and level[100:200].min() > 127 >= np.median(level)
+    assert (np.diff(level[np.argsort(counts)]) >= 0).all() and not jaccard_join.levels(np.zeros(8, np.uint32)).any()
+
+
 def test_groups_of_one_component_do_not_meet():
     """A shingle in 500 groups of one component and in three others: three times 500 pairs and those of the three."""
     rows = np.zeros(503, jaccard_join.POSTING)
