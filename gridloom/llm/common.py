@@ -124,6 +124,16 @@ def own_ids(documents: DataFrame, ids: DataFrame | None, *columns: str) -> DataF
     return documents
 
 
+def lean(run):
+    """A pass over Arrow batches that gives Arrow's free memory back at its end: idle workers stay for the next stages."""
+
+    def own(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return own
+
+
 def crc_remainder(doc_id, modulus: int):
     """crc32 of the id written as text, modulo."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus

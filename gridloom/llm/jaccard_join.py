@@ -252,7 +252,7 @@ def describe(documents: DataFrame, j: Join) -> DataFrame:
         size = len(parts)
         yield pa.RecordBatch.from_arrays([pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.binary()), pa.nulls(size, pa.list_(pa.int64())), pa.nulls(size, pa.binary()), pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], schema=schema)
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id long, n_shingles long, key binary, minhashes array<long>, bits binary, {COUNTS}")
+    return documents.select("doc_id", "text").mapInArrow(common.lean(run), f"doc_id long, n_shingles long, key binary, minhashes array<long>, bits binary, {COUNTS}")
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -286,7 +286,7 @@ def first_links(members: DataFrame, leaders: DataFrame, sets: DataFrame, j: Join
     copied to its groups after the join by name."""
     own = members.join(sets, "name").select("group", "name", "tokens")
     more = leaders.join(sets, "name").select(F.explode("groups").alias("group"), "name", "tokens")
-    return links_within(matrices(own.unionByName(more), j), j)
+    return links_within(own.unionByName(more), j)
 
 
 # ---- 3: pairs of groups
@@ -354,7 +354,7 @@ def postings(documents: DataFrame, j: Join, level, marks, buckets: int) -> DataF
                     yield from dealer.flush()
         yield from dealer.flush()
 
-    return documents.select("text").mapInArrow(run, "bucket int, rows binary")
+    return documents.select("text").mapInArrow(common.lean(run), "bucket int, rows binary")
 
 
 def set_postings(sets: DataFrame, j: Join, level, buckets: int) -> DataFrame:
@@ -369,7 +369,7 @@ def set_postings(sets: DataFrame, j: Join, level, buckets: int) -> DataFrame:
                     yield from dealer.flush()
         yield from dealer.flush()
 
-    return sets.select("component", "group", "tokens").mapInArrow(run, "bucket int, rows binary")
+    return sets.select("component", "group", "tokens").mapInArrow(common.lean(run), "bucket int, rows binary")
 
 
 class Pairs:
@@ -472,7 +472,7 @@ def group_pairs(packed: DataFrame, j: Join, buckets: int) -> DataFrame:
         for lo in range(0, len(pairs), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[lo : lo + (1 << 16), i]) for i in (0, 1)], ["a", "b"])
 
-    return packed.repartitionById(buckets, "bucket").mapInArrow(run, "a long, b long").distinct()
+    return packed.repartitionById(buckets, "bucket").mapInArrow(common.lean(run), "a long, b long").distinct()
 
 
 # ---- 4: bounds, matrices
@@ -510,7 +510,7 @@ def within_bounds(pairs: DataFrame, bitmaps: DataFrame, j: Join) -> DataFrame:
 
     whole = bitmaps.groupBy("group").agg(F.collect_list(F.struct("n", "bits")).alias("members"))
     both = pairs.join(whole.select(F.col("group").alias("a"), F.col("members").alias("left")), "a").join(whole.select(F.col("group").alias("b"), F.col("members").alias("right")), "b")
-    return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "left", "right").mapInArrow(common.lean(run), "a long, b long")
 
 
 MATRIX = "group long, names binary, sizes binary, tokens binary, bits binary"
@@ -543,45 +543,52 @@ def link_batch(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], ["a", "b"])
 
 
-def matrices(candidates: DataFrame, j: Join) -> DataFrame:
-    """Rows of MATRIX from rows (group, name, tokens) of one class each; group by group in streams sorted by group."""
+def by_group(candidates: DataFrame) -> DataFrame:
+    """Rows (group, name, tokens) of one class each, group by group in streams."""
+    n = common.partitions(candidates.sparkSession)
+    return candidates.repartition(n, "group").sortWithinPartitions("group").select("group", "name", "tokens")
 
-    def build(group: int, members: dict[bytes, np.ndarray]) -> pa.RecordBatch:
-        names = sorted(members)
-        every = np.concatenate([members[k] for k in names])
-        owner = np.repeat(np.arange(len(names)), [len(members[k]) for k in names])
-        tokens, inverse = np.unique(every, return_inverse=True)
-        bits = np.zeros((len(tokens), (len(names) + 7) // 8), np.uint8)
-        np.bitwise_or.at(bits, (inverse, owner // 8), (128 >> (owner % 8)).astype(np.uint8))
-        sizes = np.array([len(members[k]) for k in names], "<u4")
-        cells = [group, b"".join(names), sizes.tobytes(), tokens.astype("<u8").tobytes(), bits.tobytes()]
-        return pa.RecordBatch.from_arrays([pa.array([c], pa.int64() if i == 0 else pa.binary()) for i, c in enumerate(cells)], ["group", "names", "sizes", "tokens", "bits"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, members = None, {}
-        for batch in batches:
-            for group, name, tokens in zip(*(batch.column(c).to_pylist() for c in ("group", "name", "tokens")), strict=True):
-                if group != now and members:
-                    yield build(now, members)
-                    members = {}
-                now = group
-                members[name] = np.frombuffer(tokens, "<u8")
-        if members:
-            yield build(now, members)
+def matrix(group: int, members: dict[bytes, np.ndarray]) -> pa.RecordBatch:
+    names = sorted(members)
+    every = np.concatenate([members[k] for k in names])
+    owner = np.repeat(np.arange(len(names)), [len(members[k]) for k in names])
+    tokens, inverse = np.unique(every, return_inverse=True)
+    bits = np.zeros((len(tokens), (len(names) + 7) // 8), np.uint8)
+    np.bitwise_or.at(bits, (inverse, owner // 8), (128 >> (owner % 8)).astype(np.uint8))
+    sizes = np.array([len(members[k]) for k in names], "<u4")
+    cells = [group, b"".join(names), sizes.tobytes(), tokens.astype("<u8").tobytes(), bits.tobytes()]
+    return pa.RecordBatch.from_arrays([pa.array([c], pa.int64() if i == 0 else pa.binary()) for i, c in enumerate(cells)], ["group", "names", "sizes", "tokens", "bits"])
 
-    n = common.partitions(candidates.sparkSession)
-    return candidates.repartition(n, "group").sortWithinPartitions("group").select("group", "name", "tokens").mapInArrow(run, MATRIX)
+
+def each_matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    now, members = None, {}
+    for batch in batches:
+        for group, name, tokens in zip(*(batch.column(c).to_pylist() for c in ("group", "name", "tokens")), strict=True):
+            if group != now and members:
+                yield matrix(now, members)
+                members = {}
+            now = group
+            members[name] = np.frombuffer(tokens, "<u8")
+    if members:
+        yield matrix(now, members)
+
+
+def matrices(candidates: DataFrame) -> DataFrame:
+    """Rows of MATRIX."""
+    return by_group(candidates).mapInArrow(common.lean(each_matrix), MATRIX)
 
 
 def similar(inter: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return 100 * inter >= percent * (n[:, None] + m[None, :] - inter)
 
 
-def links_within(groups: DataFrame, j: Join) -> DataFrame:
+def links_within(candidates: DataFrame, j: Join) -> DataFrame:
+    """Matrices are built and read in one pass, so that a task needs one worker."""
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("n", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in each_row(batches):
+        for row in each_row(each_matrix(batches)):
             sizes = np.frombuffer(row["sizes"], "<u4").astype(np.int64)
             m = len(sizes)
             if m < 2:
@@ -594,7 +601,7 @@ def links_within(groups: DataFrame, j: Join) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
-    return groups.mapInArrow(run, f"{LINK}, n int")
+    return by_group(candidates).mapInArrow(common.lean(run), f"{LINK}, n int")
 
 
 def links_between(pairs: DataFrame, groups: DataFrame, j: Join) -> DataFrame:
@@ -620,7 +627,7 @@ def links_between(pairs: DataFrame, groups: DataFrame, j: Join) -> DataFrame:
 
     left = pairs.join(groups.withColumnRenamed("group", "a"), "a")
     both = left.join(groups.select(F.col("group").alias("b"), *(F.col(c).alias(f"{c}2") for c in ("names", "sizes", "tokens", "bits"))), "b")
-    return both.select("names", "sizes", "tokens", "bits", "names2", "sizes2", "tokens2", "bits2").mapInArrow(run, LINK)
+    return both.select("names", "sizes", "tokens", "bits", "names2", "sizes2", "tokens2", "bits2").mapInArrow(common.lean(run), LINK)
 
 
 def set_rows(documents: DataFrame, classes: DataFrame, j: Join) -> DataFrame:
@@ -645,7 +652,7 @@ def set_rows(documents: DataFrame, classes: DataFrame, j: Join) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(keys, pa.binary()), pa.array(tokens, pa.binary())], ["doc_id", "key", "tokens"])
 
     hashed = documents.select("doc_id", "text", F.xxhash64("doc_id").bitwiseAND(0x7FFFFFFFFFFFFFFF).alias("place"))
-    found = hashed.mapInArrow(run, "doc_id long, key binary, tokens binary").withColumn("name", named(F.col("doc_id"), F.col("key")))
+    found = hashed.mapInArrow(common.lean(run), "doc_id long, key binary, tokens binary").withColumn("name", named(F.col("doc_id"), F.col("key")))
     return found.select("name", "tokens").join(classes.select("name"), "name", "left_semi").dropDuplicates(["name"])
 
 
@@ -714,7 +721,7 @@ def linked(documents: DataFrame, j: Join = Join()) -> DataFrame:
 
     pairs = work.keep(within_bounds(met, grouped.join(of(met), "group", "left_semi").select("group", "n", "bits"), j), "pairs")
     opened = work.keep(grouped.join(of(pairs), "group", "left_semi").select("name", "key", "doc_id", "group"), "opened")
-    built = work.keep(matrices(set_rows(documents, opened, j).join(opened.select("name", "group"), "name"), j), "matrices")
+    built = work.keep(matrices(set_rows(documents, opened, j).join(opened.select("name", "group"), "name")), "matrices")
     links = roots.select(F.col("vertex").alias("a"), F.col("root").alias("b")).unionByName(links_between(pairs, built, j))
     roots = components(work.keep(links, "links"), work)
     found = classes.select("key", "name", "copies").join(roots.withColumnRenamed("vertex", "name"), "name", "left").select("key", "copies", smallest_id(F.coalesce("root", "name")).alias("component_id"))
