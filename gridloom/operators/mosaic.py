@@ -73,14 +73,15 @@ def first_valid(samples: DataFrame, keys: tuple[str, ...], nodata: float | None
 
 def neighbourhood(points: DataFrame, raster: DataFrame, mode: str, width: int, height: int) -> DataFrame:
     """points (point, fx, fy) joined with the raster's pixels (gx, gy, ...) under the kernel, with weight w. Coordinates
-    beyond the edge take the edge pixel. An equi-join, so it shuffles by pixel however many points there are."""
+    beyond the edge take the edge pixel. An equi-join that shuffles by pixel however many points there are; the raster is never
+    broadcast, as its size in a compressed file says little of what it takes in the driver."""
     taps = kernels.TAPS[mode]
     x0, y0 = kernels.anchor(mode, F.col("fx")), kernels.anchor(mode, F.col("fy"))
     near = points.withColumn("_x", F.explode(F.sequence(x0, x0 + (taps - 1)))).withColumn("_y", F.explode(F.sequence(y0, y0 + (taps - 1))))
     w = kernels.weight(mode, F.col("fx") - F.col("_x")) * kernels.weight(mode, F.col("fy") - F.col("_y"))
     at = lambda c, n: F.least(F.greatest(F.col(c), F.lit(0).cast("long")), F.lit(n - 1).cast("long"))
     near = near.withColumn("w", w).withColumn("gx", at("_x", width)).withColumn("gy", at("_y", height)).drop("_x", "_y")
-    return near.join(raster, ["gx", "gy"])
+    return near.join(raster.hint("merge"), ["gx", "gy"])
 
 
 def sample_rgba(points: DataFrame, raster: DataFrame, mode: str, width: int, height: int) -> DataFrame:

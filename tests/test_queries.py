@@ -30,6 +30,12 @@ def test_query_equals_sql(spark, con, name):
     assert plain(got.select(*columns).collect()) == plain(want)
 
 
+@pytest.mark.parametrize("name", sorted(n for n in plans.SQL if n.startswith("sample_")))
+def test_samples_never_broadcast_the_raster(spark, name):
+    plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(plans.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
