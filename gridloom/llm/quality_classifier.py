@@ -93,25 +93,59 @@ def features(raw: np.ndarray, at: np.ndarray, v: Voting) -> np.ndarray:
     return out
 
 
+def pack(row: np.ndarray) -> bytes:
+    """Places and values, in float16, of what isn't 0 in a row."""
+    row = row.astype(np.float16)
+    at = np.flatnonzero(row)
+    return at.astype(np.uint32).tobytes() + row[at].tobytes()
+
+
+class Rows:
+    """Packed rows as a matrix; a slice opens them."""
+
+    def __init__(self, packed: list[bytes], width: int):
+        self.shape = (len(packed), width)
+        size = np.array([len(r) // 6 for r in packed], np.int64)
+        self.first = np.concatenate([[0], np.cumsum(size)])
+        self.at, self.value = np.zeros(self.first[-1], np.uint32), np.zeros(self.first[-1], np.float16)
+        for r, lo, n in zip(packed, self.first.tolist(), size.tolist()):
+            self.at[lo : lo + n] = np.frombuffer(r, np.uint32, n)
+            self.value[lo : lo + n] = np.frombuffer(r, np.float16, n, 4 * n)
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        lo, hi, _ = part.indices(self.shape[0])
+        own = slice(self.first[lo], self.first[hi])
+        out = np.zeros((hi - lo, self.shape[1]), np.float32)
+        out[np.repeat(np.arange(hi - lo), np.diff(self.first[lo : hi + 1])), self.at[own]] = self.value[own]
+        return out
+
+
 class Space:
-    """Weights, projection and labelled vectors."""
+    """Weights, projection and labelled vectors. The rows are opened and weighted part by part, so the driver never holds them whole."""
 
-    def __init__(self, x: np.ndarray, labels: np.ndarray, v: Voting):
+    def __init__(self, x: np.ndarray | Rows, labels: np.ndarray, v: Voting, part: int = 512):
+        n, width = x.shape
         self.prior = float(labels.mean()) if len(labels) else 0.5
         self.labels = labels.astype(np.float32)
-        self.weights = (np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 0.3).astype(np.float32)
-        x = x * self.weights
-        if not len(x):
-            self.basis, self.known = np.zeros((x.shape[1], 1), np.float32), np.zeros((0, 1), np.float32)
+        seen = np.zeros(width, np.int64)
+        for lo in range(0, n, part):
+            seen += (x[lo : lo + part] > 0).sum(0)
+        self.weights = (np.log((1 + n) / (1 + seen)) + 0.3).astype(np.float32)
+        if not n:
+            self.basis, self.known = np.zeros((width, 1), np.float32), np.zeros((0, 1), np.float32)
             return
-        random = np.random.default_rng(7)
-        start = x.T @ random.standard_normal((len(x), min(len(x), v.rank + 16))).astype(np.float32)
-        basis = np.linalg.qr(start)[0]
+
+        def parts() -> Iterator[tuple[int, np.ndarray]]:
+            for lo in range(0, n, part):
+                yield lo, x[lo : lo + part] * self.weights
+
+        random = np.random.default_rng(7).standard_normal((n, min(n, v.rank + 16))).astype(np.float32)
+        basis = np.linalg.qr(sum(p.T @ random[lo : lo + part] for lo, p in parts()))[0]
         for _ in range(6):  # subspace iteration for the leading right singular vectors
-            basis = np.linalg.qr(x.T @ (x @ basis))[0]
-        _, _, turn = np.linalg.svd(x @ basis, full_matrices=False)
+            basis = np.linalg.qr(sum(p.T @ (p @ basis) for _, p in parts()))[0]
+        _, _, turn = np.linalg.svd(np.concatenate([p @ basis for _, p in parts()]), full_matrices=False)
         self.basis = (basis @ turn.T[:, : v.rank]).astype(np.float32)
-        self.known = self.project(x, weighted=True)
+        self.known = np.concatenate([self.project(p, weighted=True) for _, p in parts()])
 
     def project(self, x: np.ndarray, weighted: bool = False) -> np.ndarray:
         y = (x if weighted else x * self.weights) @ self.basis
@@ -149,14 +183,17 @@ def learn(documents: DataFrame, labels: DataFrame, v: Voting = Voting()) -> Spac
             raw, at = common.utf8(batch.column("text"))
             for lo, hi in common.slices(at, 1 << 20):
                 x = features(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], v)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("quality").slice(lo, hi - lo), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], ["doc_id", "quality", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("quality").slice(lo, hi - lo), pa.array([pack(r) for r in x], pa.binary())], ["doc_id", "quality", "x"])
 
     common.tune(documents.sparkSession)
     texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("quality").cast("double").alias("quality"), "text")
     got = texts.mapInArrow(run, "doc_id long, quality double, x binary").toArrow()
     ids, quality, rows = (got.column(c).to_pylist() for c in ("doc_id", "quality", "x"))
+    del got
     order = sorted(range(len(ids)), key=lambda i: (ids[i], rows[i]))
-    x = np.array([np.frombuffer(rows[i], np.float16) for i in order], np.float32).reshape(len(order), terms(v))
+    x = Rows([rows[i] for i in order], terms(v))
+    del rows
+    pa.default_memory_pool().release_unused()
     return Space(x, np.array([quality[i] for i in order], float), v)
 
 

@@ -2,6 +2,7 @@ import base64
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -212,3 +213,27 @@ def english(r, size):
     """Frequent words and rarer ones, which compress about as prose does."""
     often = [prose(i, 1) for i in range(60)]
     return " ".join(r.choice(often) if r.random() < 0.5 else "".join(r.choices("etaoinshrdlucmfwyp", k=6)) for _ in range(size)).encode()[:size].decode(errors="ignore").encode()
+
+
+def test_packed_rows_give_the_same_space():
+    v = quality_classifier.Voting()
+    random = np.random.default_rng(3)
+    x = (random.random((700, quality_classifier.terms(v))) * (random.random((700, quality_classifier.terms(v))) < 0.05)).astype(np.float16).astype(np.float32)
+    x[5] = 0
+    rows = quality_classifier.Rows([quality_classifier.pack(r) for r in x], x.shape[1])
+    assert np.array_equal(rows[:], x) and np.array_equal(rows[690:900], x[690:])
+    labels = (np.arange(700) % 3 == 0).astype(float)
+    whole, parts = quality_classifier.Space(x, labels, v, part=1000), quality_classifier.Space(rows, labels, v, part=64)
+    assert np.array_equal(whole.weights, parts.weights)
+    assert np.allclose(whole.known @ whole.known.T, parts.known @ parts.known.T, atol=1e-2)
+
+
+def test_learning_keeps_the_driver_small(spark):
+    """The rows as a dense matrix would take 40 MB here, and a weighted copy as much again."""
+    rows = [(i, " ".join(f"w{(i * k) % 977}" for k in range(1, 60))) for i in range(4000)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(4000)], "doc_id long, quality int")
+    tracemalloc.start()
+    space = quality_classifier.learn(docs, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(space.labels) > 2900 and peak < 36e6
